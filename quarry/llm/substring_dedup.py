@@ -41,8 +41,8 @@ from . import _blobs, _triggers
 from .common import materialize
 
 TRIGGER = 16
-BLOCK = 1 << 21
-FLUSH_ROWS = 2_000_000
+BLOCK = 1 << 19
+FLUSH_ROWS = 500_000
 HOT_PHRASES = 65_536
 LAST = 2**63 - 1
 
@@ -307,7 +307,7 @@ def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartitionById(buckets, F.col("bucket")) if hasattr(df, "repartitionById") else df.repartition(buckets, "bucket")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, bucket_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, bucket_bytes: int = 12 << 20) -> DataFrame:
     """Adds ``kept`` (the remaining bytes) and ``spans`` (removed stretches, merged, in bytes) to every row."""
     if min_len <= TRIGGER:
         raise ValueError(f"min_len must be above {TRIGGER}")
