@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, substring_dedup, url_filter
+from . import embedding_dedup, minhash_dedup, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -21,6 +21,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(c).cast("long") for c in quality.COUNTS], "base_failed", "kept", "p_good")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    out = embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies and verdict of every document."""
+    out = minhash_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the 50-byte strings of earlier documents, as digests."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -35,8 +47,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
