@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, quality, substring_dedup, url_filter
+from . import embedding_dedup, langid, minhash_dedup, packing, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -21,12 +21,37 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(c).cast("long") for c in quality.COUNTS], "base_failed", "kept", "p_good")
 
 
+#: Remainder of crc32(doc_id as text) modulo 4 that is held out from training.
+HELD_OUT = 2
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter is held out from training."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == HELD_OUT
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held, F.lit(False)))
+    out = langid.identify(docs.select("doc_id", "held_out", "text"), docs.filter("not held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     out = embedding_dedup.link(table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", "kept")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, tokenizer_path(), keep_ids=False)
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies and verdict of every document."""
     out = minhash_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,9 +72,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
