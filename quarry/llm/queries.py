@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, minhash_dedup, packing, quality, substring_dedup, url_filter
+from . import embedding_dedup, langid, minhash_dedup, mixing, packing, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -33,6 +33,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+#: Target weights of the registered mixing query and of the pipeline, by domain.
+TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
+
+
+def mixing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of the domain classifier: documents listed in ``labels``, their language as domain."""
+    listed = table(spark, sf_dir, "labels").select("doc_id").filter("doc_id is not null").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    return docs.join(listed, "doc_id", "left_semi")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, domain posteriors and fitted rate of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mixing.mix(docs, mixing_labels(spark, sf_dir), TARGETS)
+    return out.select("doc_id", "n_tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in sorted(TARGETS)], "rate")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     out = embedding_dedup.link(table(spark, sf_dir, "embeddings"))
@@ -73,6 +91,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
