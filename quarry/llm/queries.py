@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, minhash_dedup, mixing, packing, quality, substring_dedup, url_filter
+from . import embedding_dedup, langid, minhash_dedup, mixing, packing, pii, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -33,6 +33,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, the digest of the base spans and all spans of every document."""
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.joined(F.col("spans"), base_only=True).cast("binary"), 256)
+    n_added = (F.size("spans") - F.size(base)).cast("long")
+    return out.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), n_added.alias("n_added"))
+
+
 #: Target weights of the registered mixing query and of the pipeline, by domain.
 TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
 
@@ -91,6 +101,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_url_filter": op6_url_filter,
