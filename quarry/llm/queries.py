@@ -37,7 +37,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, the digest of the base spans and all spans of every document."""
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind))
+    counts = [count(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     digest = F.sha2(pii.joined(F.col("spans"), base_only=True).cast("binary"), 256)
     n_added = (F.size("spans") - F.size(base)).cast("long")
     return out.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), n_added.alias("n_added"))
