@@ -93,7 +93,7 @@ def mix(
     text_col: str = "text",
     label_col: str = "domain",
     key_col: str = "doc_id",
-    total_factor: float = 1.0,
+    total_factor: float | None = 1.0,
     least: float = 0.0,
     rounds: int = 60,
     tolerance: float = 1e-4,
@@ -104,7 +104,7 @@ def mix(
     """Adds n_tokens, posteriors (map of domain to probability) and rate to every row of ``docs``.
 
     ``targets`` are weights by domain (scaled to sum to 1) of ``total_factor`` times
-    the corpus' tokens.  ``labelled`` holds texts and their domain.
+    the corpus' tokens (None: the least factor at which no domain has to shrink).  ``labelled`` holds texts and their domain.
     """
     spark = docs.sparkSession
     rows = sorted((r["lang"], r["text"].encode()) for r in langid.sample(labelled, label_col, text_col, key_col, per_domain, max_domains, max_bytes))
@@ -151,7 +151,10 @@ def mix(
     first = sums(lambda p, t: np.concatenate([(p * t[:, None]).T @ p, [(p.T @ t)]]).ravel(), (k + 1) * k).reshape(k + 1, k)
     gram, total = first[:k], float(first[k].sum())
     weight = np.array([targets.get(n, 0.0) for n in model.names])
-    goal = weight / max(weight.sum(), 1e-300) * total_factor
+    weight = weight / max(weight.sum(), 1e-300)
+    if total_factor is None:
+        total_factor = float(np.max(first[k] / max(total, 1e-300) / np.maximum(weight, 1e-9), where=weight > 0, initial=1.0))
+    goal = weight * total_factor
     gradients: list[np.ndarray] = []
     step = 1.0 / max(float(np.linalg.eigvalsh(gram / total)[-1]), 1e-9) if total > 0 else 1.0
     point = first[k] / max(total, 1e-300) * max(1.0, least)

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, minhash_dedup, mixing, packing, pii, quality, substring_dedup, url_filter
+from . import embedding_dedup, langid, minhash_dedup, mixing, packing, pii, quality, secrets, substring_dedup, url_filter
 from .common import table
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest fitting rule and verdict of every page's URL."""
     out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -105,6 +110,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_secrets": op5_secrets,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
