@@ -15,10 +15,13 @@ Scale: documents of equal text are folded first (combined map-side).  Signatures
 are taken where texts are read; only bucket keys are shuffled for all documents.
 A bucket of any size gives pairs linearly: each member is verified against the
 bucket's leader.  After the links are joined to components, only buckets that
-still hold two components are looked at again, with other leaders, and at last
-every pair of members of different components of a bucket is verified, so no
-link between bucket members is lost.  Only the texts of documents that share a
-bucket with another text are shuffled.
+still hold two components are looked at again, with other leaders.  What such
+buckets still hold apart is settled exactly inside blocks of at most ``2 * block``
+members, so that pairs never become rows: a pair of different components is taken
+up in the first band that brings it together, passed over if its registers agree
+far too rarely, and verified unless its components have met meanwhile; only links
+that join components leave the block.  So no link between bucket members is lost.
+Only the texts of documents that share a bucket with another text are shuffled.
 
 Defined results: null, empty and word-free texts, and rows with a null id, link
 with nothing (class = own id, kept).  Texts of fewer than five words have one
@@ -34,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shingles
+from ._grams import groups, raw
+from ._runs import runs
 from ._triggers import mix
 from .common import materialize
 from .components import components
 
-WORDS_AT_ONCE = 400_000
-
 
 def registers(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int) -> np.ndarray:
     """ProbMinHash: the element that arrives first at each of ``m`` registers of each text (0 where a text has none)."""
@@ -61,28 +64,118 @@ def registers(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     return name.reshape(texts, m)
 
 
-def _signatures(n: int, bands: int, rows: int):
+def bucket_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit bucket key for each band of registers."""
     factors = np.random.default_rng(5).integers(1, 2**63, size=rows, dtype=np.uint64) | np.uint64(1)
+    mixed = (mix(sig.copy()).reshape(len(sig), bands, rows) * factors).sum(2)
+    return mix(mixed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
+
+def _signatures(n: int, bands: int, rows: int):
     def keys(raws) -> np.ndarray:
         owner, h, count = _shingles.shingles(raws, n)
-        sig = registers(owner, h, count, len(raws), bands * rows).reshape(len(raws), bands, rows)
-        return mix((mix(sig.copy()) * factors).sum(2) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        return bucket_keys(registers(owner, h, count, len(raws), bands * rows), bands, rows)
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            lengths = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts])
-            cut = np.flatnonzero(np.diff(np.concatenate([[-1], np.cumsum(lengths) // (WORDS_AT_ONCE * 6)])))
-            for a, b in zip(cut, [*cut[1:], len(texts)], strict=True):
-                raws = [memoryview(t.as_buffer()).tobytes() if t.is_valid else b"" for t in texts[a:b]]
-                k = keys(raws)
+            for a, b in groups(texts, 2 << 20, 4096):
+                k = keys(raw(texts[a:b]))
                 array = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(k.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("fold")[a:b], array], names=["id", "fold", "keys"])
 
     return run
 
 
+def _contents(n: int, bands: int, rows: int):
+    """Shingles, counts, registers (16 bits each) and bucket keys of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in groups(batch.column("text"), 1 << 20, 1024):
+                raws = raw(batch.column("text")[a:b])
+                owner, h, count = _shingles.shingles(raws, n)
+                sig = registers(owner, h, count, len(raws), bands * rows)
+                keys = bucket_keys(sig, bands, rows)
+                cut = np.searchsorted(owner, np.arange(len(raws) + 1))
+                cols = [
+                    [h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
+                    [count[x:y].astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
+                    [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sig],
+                    [k.tobytes() for k in keys],
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], *[pa.array(c, pa.binary()) for c in cols]], names=["rep", "h", "count", "sig", "keys"])
+
+    return run
+
+
+def _settle(bands: int, threshold: float, slack: float):
+    """Links that join components inside one bucket block (first: marks members of its first block)."""
+
+    def block(batch):
+        rep, comp = batch.column("rep").to_numpy(), batch.column("component").to_numpy()
+        first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        sig = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("sig")), np.uint16).reshape(len(rep), -1)
+        keys = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("keys")), np.int64).reshape(len(rep), bands)
+        band = int(np.flatnonzero(keys[0] == batch.column("bucket")[0].as_py())[0])
+        whole = bool(first.all())
+        left = np.arange(len(rep)) if whole else np.flatnonzero(first)
+        right = left if whole else np.flatnonzero(~first)
+        ii, jj, agree = [], [], []
+        for at in range(0, len(left), 32):
+            i = left[at : at + 32]
+            able = comp[i][:, None] != comp[right][None]
+            if whole:
+                able &= i[:, None] < right[None]
+            for t in range(band):
+                able &= keys[i, t][:, None] != keys[right, t][None]
+            x, y = np.nonzero(able)
+            if len(x):
+                x, y = i[x], right[y]
+                same = np.concatenate([(sig[x[k : k + 65536]] == sig[y[k : k + 65536]]).mean(1) for k in range(0, len(x), 65536)])
+                ok = same >= threshold - slack
+                ii.append(x[ok])
+                jj.append(y[ok])
+                agree.append(same[ok])
+        if not ii:
+            return
+        ii, jj, agree = np.concatenate(ii), np.concatenate(jj), np.concatenate(agree)
+        parent: dict[int, int] = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        hs, cs = batch.column("h"), batch.column("count")
+        content: dict[int, tuple] = {}
+
+        def of(k):
+            if k not in content:
+                content[k] = np.frombuffer(hs[k].as_buffer(), np.uint64), np.frombuffer(cs[k].as_buffer(), np.int32)
+            return content[k]
+
+        for k in np.argsort(-agree, kind="stable"):
+            i, j = int(ii[k]), int(jj[k])
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and _shingles.similarity(*of(i), *of(j)) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                yield int(rep[i]), int(rep[j])
+
+    def run(batches):
+        out = []
+        for batch in runs(batches, ("bucket", "lo", "hi")):
+            out += block(batch)
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+
+    return run
+
+
 def _verify(n: int, threshold: float):
     def run(batches):
         last, held = None, None
@@ -102,7 +195,7 @@ def _verify(n: int, threshold: float):
 
 
 def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, leader_rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, leader_rounds: int = 2, block: int = 4096
 ) -> DataFrame:
     """One row per document: id, fold (digest of the text), class_id and kept."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -123,27 +216,35 @@ def classes(
         met = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, threshold), "u long, v long"), "verified")
 
-    links, labels = None, None
-    for k in range(leader_rounds + 1):
+    def apart(labels: DataFrame | None) -> DataFrame:
+        """Members of buckets that hold two components, with their component."""
         if labels is None:
             now = members.withColumn("component", F.col("rep"))
         else:
             now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
+        return now.join(split.select("bucket", "size"), "bucket")
+
+    links, labels = None, None
+    for k in range(leader_rounds):
+        now = apart(labels)
         order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
-        lead = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("rep", "component"), order).alias("lead"))
-        lead = lead.filter("x < y").select("bucket", "lead")
-        met = now.join(lead, "bucket")
-        if k < leader_rounds:
-            pairs = met.filter("component <> lead.component").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-        else:  # what is left: members of different components of one bucket
-            left = materialize(met.select("bucket", "rep", "component"), "left")
-            other = left.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"))
-            pairs = left.withColumnRenamed("rep", "a").join(other, "bucket").filter("component < other").select("a", "b")
+        lead = now.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("lead"))
+        pairs = now.join(lead, "bucket").filter("component <> lead.component").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if k and found.isEmpty():
-            continue
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+    left = materialize(apart(labels), "left")
+    kept = texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    contents = materialize(kept.mapInArrow(_contents(words, bands, rows), "rep long, h binary, count binary, sig binary, keys binary"), "contents")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    dealt = left.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("bucket", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
+    met = dealt.join(contents, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    slack = 4 * float(np.sqrt(threshold * (1 - threshold) / (bands * rows)))
+    late = materialize(met.mapInArrow(_settle(bands, threshold, slack), "u long, v long"), "late")
+    if not late.isEmpty():
+        labels = components(links.unionByName(late))
 
     folds = reps.select("fold", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fold", F.coalesce("component", "rep").alias("class_id"))
     out = src.select("id", "fold").join(folds, "fold", "left")
