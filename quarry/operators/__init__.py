@@ -1 +1 @@
-
+"""Relational, mining, graph and recommender operators: DataFrames in, DataFrames out."""

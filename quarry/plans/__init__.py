@@ -1 +1 @@
-
+"""Named queries over the test tables, each with its SQL twin where SQL can express it."""
