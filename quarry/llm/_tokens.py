@@ -9,6 +9,7 @@ hold the text of a special token, go through the tokenizer whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -19,10 +20,29 @@ _OTHER = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]|<\|")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-zß-öø-ÿ]+")
 
 
+class _Slots(dict):
+    """Word to slot; an unknown word takes the next slot and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+@functools.lru_cache(maxsize=2)
+def tokeniser(path: str) -> Tokeniser:
+    """One tokeniser for the life of the worker process, so that its cache serves all its tasks."""
+    return Tokeniser(path)
+
+
 class Tokeniser:
     """``encode(texts)`` gives the ids of all texts end to end, and each text's count."""
 
-    def __init__(self, path: str, cap: int = 250_000):
+    def __init__(self, path: str, cap: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,11 +50,12 @@ class Tokeniser:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = _Slots()
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.int32), 0
 
     def _learn(self, words: list[str]) -> None:
+        """Ids of words that took the last slots, in their order."""
         got = self.whole.encode(" ".join(words), add_special_tokens=False)
         owner, ids = np.array(got.word_ids, np.int64), np.array(got.ids, np.int32)
         if not len(owner) or owner[-1] != len(words) - 1 or np.any(np.diff(owner) > 1):  # not one piece a word: one by one
@@ -42,7 +63,7 @@ class Tokeniser:
             ids, sizes = np.array([x for e in each for x in e], np.int32), np.array([len(e) for e in each])
         else:
             sizes = np.bincount(owner, minlength=len(words))
-        n = len(self.slot)
+        n = len(self.slot) - len(words)
         while n + len(words) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
@@ -51,25 +72,24 @@ class Tokeniser:
         self.size[n : n + len(words)] = sizes
         self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(texts), np.int64)
         chunks: list = [None] * len(texts)
-        plain, split = [], []
+        plain, places = [], []
+        if len(self.slot) > self.cap:
+            self._clear()
         for i, t in enumerate(texts):
             if _OTHER.search(t):
                 chunks[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
             else:
                 plain.append(i)
-                split.append(_SPLIT.findall(t.lower()))
-        if len(self.slot) > self.cap:
-            self._clear()
-        new = set().union(*split).difference(self.slot) if split else set()
-        if new:
-            self._learn(list(new))
-        for i, words in zip(plain, split, strict=True):
-            at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+                words = _SPLIT.findall(t.lower())
+                places.append(np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words)))
+        if self.slot.new:
+            self._learn(self.slot.new)
+            self.slot.new = []
+        for i, at in zip(plain, places, strict=True):
             size, start = self.size[at], self.start[at]
             ends = np.cumsum(size)
             n = int(ends[-1]) if len(ends) else 0

@@ -39,9 +39,9 @@ def _tokenise(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        from ._tokens import Tokeniser
+        from ._tokens import tokeniser
 
-        tok, rank, pid = Tokeniser(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        tok, rank, pid = tokeniser(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text")
             size = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts])
