@@ -74,7 +74,7 @@ def fit(texts: list[bytes], languages: list[str], steps: int = 150, l2: float =
         va, vb = 0.9 * va + x.T @ g + l2 * a, 0.9 * vb + g.sum(0)
         a, b = a - 1.0 * va, b - 0.5 * vb
     right = (np.sign(x @ a + b) == np.sign(code[y])).astype(float) if len(y) else np.zeros((0, code.shape[1]))
-    trust = np.array([right[y == k].mean(0) if (y == k).any() else np.ones(code.shape[1]) for k in range(len(names))]).reshape(len(names), -1)
+    trust = np.array([right[y == k].mean(0) if (y == k).any() else np.ones(code.shape[1]) for k in range(len(names))]).reshape(len(names), code.shape[1])
     return Model(names, code, a, b, trust / np.maximum(trust.sum(1, keepdims=True), 1e-9))
 
 

@@ -177,7 +177,7 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, t
     rules = votes()
     held = materialize(counted.select(*kept, *new), "quality")
     rows = held.select(*[c.alias(k) for k, c in rules.items()]).groupBy(*rules).count().collect()  # at most 3 ** 7 rows
-    model = fit(sorted((tuple(r[k] for k in rules), r["count"]) for r in rows))
+    model = fit(sorted((tuple(r[k] for k in rules), r["count"]) for r in rows) or [((0,) * len(rules), 0)])
     late = ("base_failed", "p_good", "kept")
     voted = held.select(*[c for c in held.columns if c.lower() not in late], *[c.alias(k) for k, c in rules.items()])
     out = voted.withColumn("base_failed", base_failed()).withColumn("p_good", posterior_column(model, list(rules)))
