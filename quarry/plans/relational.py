@@ -53,14 +53,13 @@ def top_customers(spark, d):
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("avg_stars_by_city", f"with {REVIEWS_SQL}, {BUSINESS_SQL} select city, round(avg(stars), 6) as avg_stars from reviews join business on item_id = s_suppkey group by 1")
+@query("avg_stars_by_city", f"with {REVIEWS_SQL}, {BUSINESS_SQL} select city, avg(stars) as avg_stars from reviews join business on item_id = s_suppkey group by 1")
 def avg_stars_by_city(spark, d):
     facts = reviews(spark, d).withColumnRenamed("item_id", "s_suppkey")
-    out = explore.mean_by(facts, business(spark, d), "s_suppkey", "city", "stars", "avg_stars")
-    return out.select("city", F.round("avg_stars", 6).alias("avg_stars"))
+    return explore.mean_by(facts, business(spark, d), "s_suppkey", "city", "stars", "avg_stars")
 
 
-@query("top10_cities", f"with {REVIEWS_SQL}, {BUSINESS_SQL} select city, round(avg(stars), 6) as avg_stars from reviews join business on item_id = s_suppkey group by 1 order by avg_stars desc, city limit 10")
+@query("top10_cities", f"with {REVIEWS_SQL}, {BUSINESS_SQL} select city, avg(stars) as avg_stars from reviews join business on item_id = s_suppkey group by 1 order by avg_stars desc, city limit 10")
 def top10_cities(spark, d):
     return avg_stars_by_city(spark, d).orderBy(F.desc("avg_stars"), "city").limit(10)
 
@@ -202,18 +201,14 @@ def attr_json_features(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(k.try_cast("long"), F.lit(0)).alias("k"), k.isNotNull().cast("int").alias("has_k"), missing.isNotNull().cast("int").alias("has_missing"))
 
 
-def _tips(keys: str, tag: str) -> str:
-    return f"select {keys}, sum(value) as x from events group by {keys}"
-
-
 @query("tip_user_likes", "select user_id, round(sum(value), 6) as total, round(avg(value), 6) as mean, round(max(value), 6) as most from events group by 1")
 def tip_user_likes(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
 
 
-@query("tip_business_likes", "select l_suppkey, sum(l_linenumber)::bigint as total, max(l_linenumber) as most, round(avg(l_linenumber), 6) as mean from lineitem group by 1")
+@query("tip_business_likes", "select l_suppkey, sum(l_linenumber)::bigint as total, max(l_linenumber) as most, avg(l_linenumber) as mean from lineitem group by 1")
 def tip_business_likes(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_linenumber").alias("total"), F.max("l_linenumber").alias("most"), F.round(F.avg("l_linenumber"), 6).alias("mean"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_linenumber").alias("total"), F.max("l_linenumber").alias("most"), F.avg("l_linenumber").alias("mean"))
 
 
 @query("tip_pair_likes", "select user_id, event_type, round(avg(value), 6) as mean, count(*)::bigint as n from events group by 1, 2")
