@@ -20,7 +20,6 @@ gives way.
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,6 @@ from pyspark.sql import types as T
 
 from . import _grams
 
-_LETTER = re.compile(r"[^\W\d_]")
 SCALE = 40.0
 
 
@@ -127,7 +125,7 @@ def identify(
             texts = batch.column(at)
             for a, b in _grams.groups(texts):
                 part = texts[a:b]
-                able = [bool(t and _LETTER.search(t)) for t in part.to_pylist()]
+                able = [any(map(str.isalpha, t or "")) for t in part.to_pylist()]
                 if model.languages and any(able):
                     best, score, gap = decode(model, _grams.raw(part))
                     lang = [model.languages[k] if ok else "und" for k, ok in zip(best, able, strict=True)]

@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _blobs, _triggers
+from ._grams import groups
 from .common import materialize
 
 TRIGGER = 16
 BLOCK = 1 << 19
-FLUSH_ROWS = 500_000
+FLUSH_ROWS = 300_000
 HOT_PHRASES = 65_536
 LAST = 2**63 - 1
 
@@ -219,7 +220,7 @@ def _cut_out(span: int, buckets: int):
                     else:
                         rows.append((key, tkey, lo, n, (h % 2**64) % buckets, raw[lo : lo + n + span - 1].tobytes()))
                         size += n + span
-                    if size >= 16 << 20:
+                    if size >= 4 << 20:
                         yield send(rows)
                         rows, size = [], 0
         if rows:
@@ -277,8 +278,13 @@ def _compare(span: int):
 
 
 def _cut(span: int, names: list[str]):
-    def run(batches):
+    def parts(batches):
         for batch in batches:
+            for a, b in groups(batch.column("text"), 8 << 20, 4096):
+                yield batch.slice(a, b - a)
+
+    def run(batches):
+        for batch in parts(batches):
             kept, spans = [], []
             for text, marks in zip(batch.column("text"), batch.column("marks"), strict=True):
                 raw = memoryview(text.as_buffer()) if text.is_valid else b""
@@ -307,7 +313,7 @@ def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartitionById(buckets, F.col("bucket")) if hasattr(df, "repartitionById") else df.repartition(buckets, "bucket")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, bucket_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Adds ``kept`` (the remaining bytes) and ``spans`` (removed stretches, merged, in bytes) to every row."""
     if min_len <= TRIGGER:
         raise ValueError(f"min_len must be above {TRIGGER}")
