@@ -16,4 +16,15 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write and reread: ends the lineage, so that loops stay short and lost executors cost nothing before this point."""
     path = f"{root(df.sparkSession)}/quarry-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`cut` wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        if path := getattr(t, "_scratch_path", None):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
