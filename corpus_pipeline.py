@@ -20,11 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id."""
+    """One document of each class of near copies: the one with the smallest id.
+
+    What goes is a share of the documents, so it is always joined by sorting, never broadcast.
+    """
     seen = minhash_dedup.classes(docs.select("doc_id", "text"))
     gone = materialize(seen.filter("not kept").select("id", "fold").distinct(), "gone")
     fold = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    left = docs.join(gone, (docs["doc_id"] == gone["id"]) & (fold == gone["fold"]), "left_anti")
+    left = docs.join(gone.hint("merge"), (docs["doc_id"] == gone["id"]) & (fold == gone["fold"]), "left_anti")
     if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():  # rows that repeat an id and a text
         left = left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))
     return left.select(*docs.columns)

@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a default below the warehouse only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the folder that all executors share and read it back.
 
     This cuts the lineage: what follows survives the loss of any executor
     without recomputing what came before, and reading twice gives the same rows.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.cut(df, tag)
+
+
+discard = scratch.drop
 
 
 def let(value: Column, body) -> Column:
@@ -37,13 +29,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fresh(df: DataFrame, *names: str) -> None:
-    """Raise if the input already has one of the columns that an operator adds."""
-    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"input already has columns {sorted(clash)}; rename them first")
-
-
 def hidden(df: DataFrame, name: str) -> str:
     """A column name that the input does not use."""
     used = {c.lower() for c in df.columns}

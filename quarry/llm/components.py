@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     digest = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     last = digest(now)
     for _ in range(rounds):
-        now = materialize(_small(_large(now)), "edges")
-        this = digest(now)
+        new = materialize(_small(_large(now)), "edges")
+        this = digest(new)
+        discard(now)
+        now = new
         if this == last:  # only stars around each component's smallest node are left
             break
         last = this

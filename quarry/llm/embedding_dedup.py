@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._runs import runs
 from ._triggers import mix
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 
@@ -130,14 +131,6 @@ def _compare(threshold: float):
         return ids[at], n[at].astype(np.int64), root[at]
 
     def run(batches):
-        held, last = [], None
-
-        def done(rows):
-            table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            c = {x: table.column(x) for x in table.schema.names}
-            keys = c["keys"].flatten().to_numpy().reshape(len(table), -1)
-            return block(c["t"][0].as_py(), c["first"].to_numpy(zero_copy_only=False).astype(bool), c["id"].to_numpy(), c["copies"].to_numpy(), _matrix(c["unit"]), keys)
-
         out = []
 
         def flush():
@@ -145,23 +138,14 @@ def _compare(threshold: float):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["id", "n", "root"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            k = [batch.column(x).to_numpy() for x in ("b", "lo", "hi")]
-            cuts = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in k], axis=0), [True]]))
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(int(x[s]) for x in k)
-                if key != last and held:
-                    if (got := done(held)) is not None:
-                        out.append(got)
-                    held = []
-                last = key
-                held.append(batch.slice(s, e - s))
+        for batch in runs(batches, ("b", "lo", "hi")):
+            c = {x: batch.column(x) for x in batch.schema.names}
+            keys = c["keys"].flatten().to_numpy().reshape(len(batch), -1)
+            got = block(c["t"][0].as_py(), c["first"].to_numpy(zero_copy_only=False).astype(bool), c["id"].to_numpy(), c["copies"].to_numpy(), _matrix(c["unit"]), keys)
+            if got is not None:
+                out.append(got)
             if len(out) > 2000:
                 yield flush()
-        if held and (got := done(held)) is not None:
-            out.append(got)
         if out:
             yield flush()
 
@@ -204,6 +188,7 @@ def link(
     met = dealt.join(units, "id").repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
     found = materialize(met.mapInArrow(_compare(threshold), "id long, n long, root long"), "links")
 
+    discard(units)
     joined = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     folds = held.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

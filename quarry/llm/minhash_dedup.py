@@ -40,7 +40,7 @@ from . import _shingles
 from ._grams import groups, raw
 from ._runs import runs
 from ._triggers import mix
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 
@@ -195,7 +195,7 @@ def _verify(n: int, threshold: float):
 
 
 def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, leader_rounds: int = 2, block: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, leader_rounds: int = 2, block: int = 2048
 ) -> DataFrame:
     """One row per document: id, fold (digest of the text), class_id and kept."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -225,7 +225,7 @@ def classes(
         split = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
         return now.join(split.select("bucket", "size"), "bucket")
 
-    links, labels = None, None
+    links, labels, used = None, None, [members, texts]
     for k in range(leader_rounds):
         now = apart(labels)
         order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
@@ -233,6 +233,7 @@ def classes(
         pairs = now.join(lead, "bucket").filter("component <> lead.component").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = found if links is None else links.unionByName(found)
+        used += [found, labels]
         labels = components(links)
     left = materialize(apart(labels), "left")
     kept = texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
@@ -245,6 +246,7 @@ def classes(
     late = materialize(met.mapInArrow(_settle(bands, threshold, slack), "u long, v long"), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(late))
+    discard(*used, left, contents, late)
 
     folds = reps.select("fold", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fold", F.coalesce("component", "rep").alias("class_id"))
     out = src.select("id", "fold").join(folds, "fold", "left")
