@@ -73,6 +73,16 @@ def test_lsh_pairs_are_exact_jaccard_pairs(spark):
     assert got == want
 
 
+def test_jaccard_of_pairs_is_the_same_both_ways(spark):
+    r = random.Random(5)
+    rows = spark.createDataFrame([(k, u) for k in range(15) for u in r.sample(range(60), 20)], "item long, user long")
+    want = {(x["a"], x["b"]): x["similarity"] for x in similarity.all_jaccard(rows, "item", "user").collect()}
+    for n in (2, 105):
+        pairs = spark.createDataFrame(sorted(want)[:n], "a long, b long")
+        got = {(x["a"], x["b"]): x["similarity"] for x in similarity.jaccard_of_pairs(pairs, rows, "item", "user").collect()}
+        assert got == {p: want[p] for p in sorted(want)[:n]}
+
+
 def test_bloom_has_no_false_negatives(spark):
     r = random.Random(2)
     data = [(i, f"u{r.randint(0, 60)}") for i in range(400)]

@@ -79,6 +79,15 @@ def test_feature_matrix_loses_no_row(spark):
     assert len(got) == 3 and {r["business_stars"] for r in got} == {3.5} and sorted(r["pair_likes"] for r in got) == [0, 0, 7]
 
 
+def test_partitioning_and_profiles(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), F.lit("None").alias("s"), F.lit(0.0).alias("z"))
+    out = explore.compare_partitioning(df, "k", 3)
+    assert sum(out["default"]["n_items"]) == sum(out["customized"]["n_items"]) == 100 and out["customized"]["n_partition"] <= 3
+    got = {r["column"]: r for r in explore.sentinel_profile(df, ["k", "s", "z"]).collect()}
+    assert got["s"]["n_none"] == 100 and got["z"]["n_zero"] == 100 and got["k"]["n_zero"] == 15
+    assert explore.summary(df.select("k")).filter("summary = 'count'").first()["k"] == "100"
+
+
 def test_business_attributes_and_encoding(spark):
     rows = spark.createDataFrame([("1", "n2", "c", "s", {"HasTV": "True"}), ("2", "n1", "a", "s", None)], "business_id string, name string, city string, state string, attributes map<string,string>")
     got = {r["business_id"]: r for r in features.business_attributes(rows).collect()}
