@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 def _ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row numbers from 0 in the order of ``order``, without gathering rows in one task.
 
-    Rows are range-partitioned; a partition's first number is the sum of the
-    counts before it (one row a partition), and numbers run on inside it.
+    One range shuffle sorts the rows; a row's place inside its partition is kept in
+    the written table, and a partition's first number is the sum of the counts
+    before it (one row a partition).
     """
     from quarry.sources.scratch import cut
 
-    parts = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranked")
-    counts = parts.groupBy("_pid").count()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut(placed, "ranked").withColumn("_pid", F.shiftright("_at", 33)).withColumn("_inside", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("_pid").count()
     before = counts.select("_pid", F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1
-    return parts.join(F.broadcast(before), "_pid").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_pid", "_before")
+    return rows.join(F.broadcast(before), "_pid").withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).drop("_pid", "_before", "_inside", "_at")
 
 
 def row_index(df: DataFrame, col: str, name: str = "index") -> DataFrame:
