@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, minhash_dedup, mixing, packing, pii, quality, secrets, substring_dedup, url_filter
+from . import embedding_dedup, langid, minhash_dedup, mixing, oracles, packing, pii, quality, secrets, substring_dedup, url_filter
 from .common import table
 
 
@@ -117,4 +117,12 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that SQL can express; the others learn models and are tested by brute force or held-out rows."""
+    return {
+        "op4_embedding_dedup": oracles.EMBEDDING_DEDUP,
+        "op6_url_filter": oracles.url_filter_sql(),
+        "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+    }

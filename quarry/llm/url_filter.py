@@ -12,9 +12,10 @@ gives way to it.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import itertools
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,8 +81,8 @@ def _grams(s: str, n: int) -> list[str]:
 def fit(rows, n: int = 4, buckets: int = 4096, epochs: int = 400, l2: float = 1e-3, max_rows: int = 10_000) -> UrlModel:
     """Full-batch logistic regression.  ``rows`` are (host, path, label); more than ``max_rows`` is an error.
 
-    Buckets are CRC-32 of the n-gram's UTF-8 bytes modulo ``buckets``, the same
-    function that Spark's ``crc32`` computes.
+    An n-gram's bucket is the first 32 bits of its MD5 modulo ``buckets``, which Spark
+    and SQL engines compute alike.
     """
     rows = list(itertools.islice(rows, max_rows + 1))
     if len(rows) > max_rows:
@@ -89,7 +90,7 @@ def fit(rows, n: int = 4, buckets: int = 4096, epochs: int = 400, l2: float = 1e
     x, y = np.zeros((len(rows), buckets)), np.array([r[2] for r in rows], dtype=float)
     for i, (host, path, _) in enumerate(rows):
         for g in _grams(host + path, n):
-            x[i, zlib.crc32(g.encode()) % buckets] += 1
+            x[i, int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % buckets] += 1
     x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
     w, b, step = np.zeros(buckets), -math.log(2), 0.5
     for _ in range(epochs):
@@ -99,6 +100,12 @@ def fit(rows, n: int = 4, buckets: int = 4096, epochs: int = 400, l2: float = 1e
     return UrlModel(tuple(float(v) for v in w), float(b), n)
 
 
+@functools.lru_cache(maxsize=1)
+def fitted() -> UrlModel:
+    """The model of the small labelled table, fitted once for the life of the process."""
+    return fit(labelled_urls())
+
+
 def _after_scheme(url: Column) -> Column:
     at = F.locate("://", url)
     return F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(F.lit(""))
@@ -122,7 +129,7 @@ def block_probability(host: Column, path: Column, model: UrlModel) -> Column:
     count = F.length(text) - (model.n - 1)
     weights = F.array(*[F.lit(w) for w in model.weights])
     grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, F.lit(model.n))))
-    at = F.transform(grams, lambda g: F.pmod(F.crc32(F.encode(g, "utf-8")), F.lit(len(model.weights))).cast("int"))
+    at = F.transform(grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(len(model.weights))).cast("int"))
     total = F.aggregate(F.transform(at, lambda i: F.get(weights, i)), F.lit(0.0), lambda a, v: a + v)
     z = F.coalesce(total / F.sqrt(F.greatest(count, F.lit(1)).cast("double")), F.lit(0.0)) + F.lit(model.bias)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -139,9 +146,9 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
     """Adds host, path, rule, p_block (model's probability) and verdict to every row."""
-    model = model or fit(labelled_urls())
+    model = model or fitted()
     out = replace_columns(pages, host=host_of(F.col(f"`{url}`")), path=path_of(F.col(f"`{url}`")))
     name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    out = replace_columns(out, rule=name, p_block=block_probability(F.col("host"), F.col("path"), model), verdict=verdict)
+    out = replace_columns(out, rule=name, p_block=F.round(block_probability(F.col("host"), F.col("path"), model), 6), verdict=verdict)
     by_model = F.when(F.col("p_block") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return replace_columns(out, verdict=F.coalesce(F.col("verdict"), by_model))
