@@ -31,6 +31,22 @@ kept as (select g.doc_id, count(*) as n_spans, sum(e - s) as n_removed,
 select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
 sha256(case when h is null then b else unhex(h) end) as kept_sha256 from d left join kept using (doc_id)"""
 
+#: All pairs that share a shingle, cut by an upper bound of the similarity; the full sum only where counts differ from 1.
+MINHASH_DEDUP = r"""with recursive t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null),
+s as (select doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) as s from t where len(w) > 0),
+x as (select doc_id, s, count(*)::double as c from s group by 1, 2),
+n as (select doc_id, sum(c) as total, count(*) as n, max(c) as most from x group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common, sum(least(a.c / na.total, b.c / nb.total)) as bound, any_value(na.n) as n1, any_value(nb.n) as n2, max(na.most) as m1, max(nb.most) as m2
+  from x a join x b on a.s = b.s and a.doc_id < b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id group by 1, 2 having bound >= 0.799999),
+hard as (select a, b from p where m1 > 1 or m2 > 1),
+u as (select a, b, s, sum(ca) as ca, sum(cb) as cb from (select a, b, s, c as ca, 0.0 as cb from hard join x on x.doc_id = a union all select a, b, s, 0.0, c from hard join x on x.doc_id = b) group by 1, 2, 3),
+full_sum as (select d.a, d.b, d.s, sum(greatest(e.ca / d.ca, e.cb / d.cb)) as z from u d join u e on d.a = e.a and d.b = e.b where d.ca > 0 and d.cb > 0 group by 1, 2, 3),
+links as (select a, b from p where m1 = 1 and m2 = 1 and common / (n1 + n2 - common) >= 0.8 union all select a, b from full_sum group by 1, 2 having sum(1 / z) >= 0.8),
+both_ways as (select a, b from links union all select b, a from links),
+reach(id, other) as (select distinct a, a from both_ways union select r.id, l.b from reach r join both_ways l on r.other = l.a),
+comp as (select id, min(other) as c from reach group by 1)
+select doc_id, coalesce(c, doc_id)::bigint as class_id, coalesce(c, doc_id) is not distinct from doc_id as kept from documents left join comp on comp.id = doc_id"""
+
 
 @functools.lru_cache(maxsize=1)
 def url_filter_sql() -> str:

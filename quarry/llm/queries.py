@@ -124,5 +124,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_embedding_dedup": oracles.EMBEDDING_DEDUP,
         "op6_url_filter": oracles.url_filter_sql(),
+        "op9_minhash_dedup": oracles.MINHASH_DEDUP,
         "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
     }
