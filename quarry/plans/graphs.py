@@ -72,7 +72,17 @@ def lpa_one_step(spark, d):
     return graph.propagate_step(e, graph.vertices(e).withColumn("label", F.col("id")))
 
 
-@query("edge_betweenness")
+_PATHS = """walk(root, node, level) as (select distinct src, src, 0 from edges union select w.root, e.dst, w.level + 1 from walk w join edges e on w.node = e.src where w.level < 25),
+  dist as (select root, node, min(level) as level from walk group by 1, 2),
+  paths(root, node, level) as (select distinct src, src, 0 from edges union all select p.root, e.dst, p.level + 1 from paths p join edges e on p.node = e.src join dist d on d.root = p.root and d.node = e.dst and d.level = p.level + 1),
+  sigma as (select root, node, level, count(*)::double as n from paths group by 1, 2, 3)"""
+
+
+@query(
+    "edge_betweenness",
+    f"""with recursive {_EDGES}, {_PATHS} select least(e.src, e.dst) as a, greatest(e.src, e.dst) as b, round(sum(x.n * y.n / z.n) / 2, 5) as betweenness
+    from edges e join sigma x on x.node = e.src join sigma y on y.root = e.dst join sigma z on z.root = x.root and z.node = y.node and z.level = x.level + 1 + y.level group by 1, 2""",
+)
 def edge_betweenness(spark, d):
     return graph.betweenness(_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 5))
 
