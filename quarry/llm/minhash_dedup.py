@@ -26,7 +26,8 @@ Only the texts of documents that share a bucket with another text are shuffled.
 Defined results: null, empty and word-free texts, and rows with a null id, link
 with nothing (class = own id, kept).  Texts of fewer than five words have one
 shingle.  The class id is the smallest id of the class; rows that repeat an id
-and a text are kept alike.  Extra columns are not carried; join on the id.
+and a text are kept alike; rows that repeat an id with another text are judged by
+their own text.  Extra columns are not carried; join on the id.
 """
 
 from __future__ import annotations
@@ -202,14 +203,16 @@ def classes(
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("fold"), text.alias("text"))
     worded = src.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     signed = materialize(worded.mapInArrow(_signatures(words, bands, rows), "id long, fold binary, keys array<long>"), "signatures")
-    reps = signed.groupBy("fold").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"))
+    again = not signed.groupBy("id").count().filter("count > 1").isEmpty()  # ids that occur twice cannot name a text
+    reps = signed.groupBy("fold").agg(F.min("id").alias("least_id"), F.min_by("keys", "id").alias("keys"))
+    reps = reps.withColumn("rep", F.xxhash64("fold") if again else F.col("least_id"))
     light = reps.select("rep", F.explode("keys").alias("bucket"))
     shared = light.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     members = materialize(light.join(shared.select("bucket"), "bucket"), "buckets")  # buckets of two texts or more
 
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = src.join(wanted, "id").join(reps.select(F.col("rep").alias("id"), "fold"), ["id", "fold"]) if _repeats(signed) else src.join(wanted, "id")
-    texts = materialize(texts.select("id", "text").dropDuplicates(["id"]) if _repeats(signed) else texts.select("id", "text"), "texts")
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least_id").alias("id"), "fold")
+    texts = src.join(wanted, ["id", "fold"] if again else ["id"]).select(F.col("rep").alias("id"), "text")
+    texts = materialize(texts.dropDuplicates(["id"]) if again else texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -248,11 +251,12 @@ def classes(
         labels = components(links.unionByName(late))
     discard(*used, left, contents, late)
 
-    folds = reps.select("fold", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fold", F.coalesce("component", "rep").alias("class_id"))
+    folds = reps.select("fold", "rep", "least_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    if again:  # components are named by digests: their smallest ids are yet to be found
+        least = folds.groupBy("component").agg(F.min("least_id").alias("class_id")).filter("component is not null")
+        folds = folds.join(least, "component", "left").withColumn("component", F.col("class_id"))
+    folds = folds.select("fold", F.coalesce("component", "least_id").alias("class_id"))
     out = src.select("id", "fold").join(folds, "fold", "left")
     own = F.when(F.col("id").isNull() | F.col("class_id").isNull(), F.col("id")).otherwise(F.col("class_id"))
     return out.select("id", "fold", own.alias("class_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
 
-
-def _repeats(signed: DataFrame) -> bool:
-    return not signed.groupBy("id").count().filter("count > 1").isEmpty()

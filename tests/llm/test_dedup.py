@@ -151,6 +151,13 @@ def test_near_documents_edges(spark):
     assert len(got) == 5 and [r["kept"] for r in got if r["id"] == 2] == [False] and [r["kept"] for r in got if r["id"] is None] == [True]
 
 
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, b + " x"), (4, "c d e f g h")]
+    got = {(r["id"], r["class_id"], r["kept"]) for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
 def test_similarity_equals_the_definition():
     r = random.Random(1)
     for _ in range(50):
