@@ -1,0 +1,32 @@
+"""Memory of Python workers, which Spark reuses from task to task."""
+
+from __future__ import annotations
+
+import ctypes
+import gc
+import sys
+
+import pyarrow as pa
+
+
+def _trim() -> None:
+    """Hand freed memory back to the system (where the C library can)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run):
+    """A task function that starts without what other operators cached in its worker, and leaves no freed memory behind."""
+
+    def wrapped(batches):
+        if tokens := sys.modules.get("quarry.llm._tokens"):
+            tokens.tokeniser.cache_clear()
+        _trim()
+        yield from run(batches)
+        _trim()
+
+    return wrapped

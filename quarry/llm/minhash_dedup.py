@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import _shingles
 from ._grams import groups, raw
+from ._lean import lean
 from ._runs import runs
 from ._triggers import mix
 from .common import discard, materialize
@@ -133,7 +134,7 @@ def _settle(bands: int, threshold: float, slack: float):
             x, y = np.nonzero(able)
             if len(x):
                 x, y = i[x], right[y]
-                same = np.concatenate([(sig[x[k : k + 65536]] == sig[y[k : k + 65536]]).mean(1) for k in range(0, len(x), 65536)])
+                same = np.concatenate([(sig[x[k : k + 16384]] == sig[y[k : k + 16384]]).mean(1) for k in range(0, len(x), 16384)])
                 ok = same >= threshold - slack
                 ii.append(x[ok])
                 jj.append(y[ok])
@@ -202,7 +203,7 @@ def classes(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("fold"), text.alias("text"))
     worded = src.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    signed = materialize(worded.mapInArrow(_signatures(words, bands, rows), "id long, fold binary, keys array<long>"), "signatures")
+    signed = materialize(worded.mapInArrow(lean(_signatures(words, bands, rows)), "id long, fold binary, keys array<long>"), "signatures")
     again = not signed.groupBy("id").count().filter("count > 1").isEmpty()  # ids that occur twice cannot name a text
     reps = signed.groupBy("fold").agg(F.min("id").alias("least_id"), F.min_by("keys", "id").alias("keys"))
     reps = reps.withColumn("rep", F.xxhash64("fold") if again else F.col("least_id"))
@@ -217,7 +218,7 @@ def classes(
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         met = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, threshold), "u long, v long"), "verified")
+        return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify(words, threshold)), "u long, v long"), "verified")
 
     def apart(labels: DataFrame | None) -> DataFrame:
         """Members of buckets that hold two components, with their component."""
@@ -240,13 +241,13 @@ def classes(
         labels = components(links)
     left = materialize(apart(labels), "left")
     kept = texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    contents = materialize(kept.mapInArrow(_contents(words, bands, rows), "rep long, h binary, count binary, sig binary, keys binary"), "contents")
+    contents = materialize(kept.mapInArrow(lean(_contents(words, bands, rows)), "rep long, h binary, count binary, sig binary, keys binary"), "contents")
     parts = F.ceil(F.col("size") / block).cast("int")
     dealt = left.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("bucket", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
     met = dealt.join(contents, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     slack = 4 * float(np.sqrt(threshold * (1 - threshold) / (bands * rows)))
-    late = materialize(met.mapInArrow(_settle(bands, threshold, slack), "u long, v long"), "late")
+    late = materialize(met.mapInArrow(lean(_settle(bands, threshold, slack)), "u long, v long"), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(late))
     discard(*used, left, contents, late)
