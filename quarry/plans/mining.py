@@ -57,7 +57,7 @@ def freq_triples(spark, d):
 @query("son_itemsets", f"with {_ROWS}, {_LEAST}, {_PAIRS} select a || ',' || b as items, n from pairs union all select item, count(*)::bigint from rows group by 1 having count(*) >= (select s from least) union all ({_TRIPLES})")
 def son_itemsets(spark, d):
     rows = _rows(spark, d)
-    return _joined(itemsets.son(rows, _support(rows), parts=4)[1].filter("size(items) <= 3"))
+    return _joined(itemsets.son(rows, _support(rows))[1].filter("size(items) <= 3"))
 
 
 @query("fpgrowth_itemsets", f"with {_ROWS}, {_LEAST}, {_PAIRS} select a || ',' || b as items, n from pairs")
@@ -66,6 +66,23 @@ def fpgrowth_itemsets(spark, d):
     return _joined(itemsets.fp_growth(rows, _support(rows)).filter("size(items) = 2"))
 
 
+_EVERY = f"with recursive {_ROWS}, {_LEAST}, held as (select basket, item as last, item as items from rows union all select h.basket, r.item, h.items || ',' || r.item from held h join rows r on h.basket = r.basket and r.item > h.last) select items, count(*)::bigint as n from held group by 1 having count(*) >= (select s from least)"
+
+
+@query("son_itemsets_all", _EVERY)
+def son_itemsets_all(spark, d):
+    """Frequent itemsets of every size; ``son_itemsets`` shows those of up to three items."""
+    rows = _rows(spark, d)
+    return _joined(itemsets.son(rows, _support(rows))[1])
+
+
+@query("fpgrowth_itemsets_all", _EVERY)
+def fpgrowth_itemsets_all(spark, d):
+    """Frequent itemsets of every size; ``fpgrowth_itemsets`` shows the pairs."""
+    rows = _rows(spark, d)
+    return _joined(itemsets.fp_growth(rows, _support(rows)))
+
+
 _MEMBERS = "rows as (select distinct l_suppkey as item, o_custkey as member from lineitem join orders on l_orderkey = o_orderkey)"
 _SIGNATURE = f"""coef as ({COEFFICIENTS_SQL.format(n=100)}), idx as (select member, dense_rank() over (order by member) - 1 as x from (select distinct member from rows)),
   m as (select count(*) as m from idx), sig as (select item, j::bigint as j, min(((a::hugeint * x + b) % 4294967311) % m)::bigint as minhash from rows join idx using (member) cross join coef cross join m group by 1, 2)"""

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -110,3 +111,27 @@ def test_reservoir(spark):
     assert tuple(got[0])[1:] == ("0", "20", "40", "60", "80")
     for r in got:
         assert all(int(v) < r["seqnum"] for v in tuple(r)[1:])
+
+
+def test_registered_miners_return_every_size(spark):
+    from quarry.plans import mining
+
+    rows = mining._rows(spark, "/root/testdata/sf0.001")
+    sets, least = {}, mining._support(rows)
+    for r in rows.collect():
+        sets.setdefault(r["basket"], set()).add(r["item"])
+    counts = Counter(c for s in sets.values() for k in range(1, len(s) + 1) for c in combinations(sorted(s), k))
+    want = {",".join(c): n for c, n in counts.items() if n >= least}
+    assert max(i.count(",") for i in want) >= 3
+    for q in (mining.son_itemsets_all, mining.fpgrowth_itemsets_all):
+        assert {r["items"]: r["n"] for r in q(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_registered_miner_leaves_parts_to_the_operator(spark, monkeypatch):
+    from quarry.plans import mining
+
+    asked, son = [], itemsets.son
+    monkeypatch.setattr(itemsets, "son", lambda *a, **b: asked.append(b.get("parts")) or son(*a, **b))
+    for q in (mining.son_itemsets, mining.son_itemsets_all):
+        q(spark, "/root/testdata/sf0.001")
+    assert asked == [None, None]
