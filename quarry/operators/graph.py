@@ -79,7 +79,7 @@ def bfs(edges: DataFrame, roots: DataFrame, max_levels: int = 1000) -> DataFrame
         if new.isEmpty():
             return seen
         frontier, seen = new, seen.unionByName(new)
-    return seen
+    raise RuntimeError("breadth-first search did not end")
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
@@ -141,14 +141,14 @@ def girvan_newman(edges: DataFrame, convention: str = "half", max_steps: int = 1
     for _ in range(max_steps):
         top = betweenness(now).orderBy(F.desc(F.round("betweenness", 9)), "a", "b").limit(1).collect()  # one row
         if not top:
-            break
+            return best
         a, b = top[0]["a"], top[0]["b"]
         now = cut(now.filter(~(((F.col("src") == a) & (F.col("dst") == b)) | ((F.col("src") == b) & (F.col("dst") == a)))), "edges")
         if now.isEmpty():
-            break
+            return best
         parts = cut(split(now), "parts")
         new = modularity(parts, now, original, m, convention).first()["modularity"]
         if new <= score:
-            break
+            return best
         best, score = parts, new
-    return best
+    raise RuntimeError("modularity did not stop rising")

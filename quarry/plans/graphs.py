@@ -102,7 +102,7 @@ def modularity(spark, d):
 
 @query("girvan_newman")
 def girvan_newman(spark, d):
-    return graph.girvan_newman(_edges(spark, d), max_steps=6)
+    return graph.girvan_newman(_edges(spark, d))
 
 
 def _points(spark, d):

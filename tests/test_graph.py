@@ -54,3 +54,20 @@ def test_co_occurrence(spark):
     rows = spark.createDataFrame([(u, b) for u in "ab" for b in range(5)] + [("c", 0), ("c", 1)], "u string, b long")
     got = {(r["src"], r["dst"]): r["n"] for r in graph.co_occurrence(rows, "u", "b", 3).collect()}
     assert got == {("a", "b"): 5, ("b", "a"): 5}
+
+
+def test_bounds_reached_are_errors(spark, barbell):
+    with pytest.raises(RuntimeError):
+        graph.girvan_newman(barbell, max_steps=1)
+    with pytest.raises(RuntimeError):
+        graph.bfs(barbell, spark.createDataFrame([(1,)], "id long"), max_levels=3)
+
+
+def test_registered_girvan_newman_has_no_cap(spark, barbell, monkeypatch):
+    from quarry.plans import graphs
+
+    asked = []
+    monkeypatch.setattr(graphs, "_edges", lambda *a: barbell)
+    monkeypatch.setattr(graph, "girvan_newman", lambda edges, **b: asked.append(b) or edges)
+    graphs.girvan_newman(spark, "")
+    assert asked == [{}]
