@@ -117,21 +117,21 @@ def _model(spark, d):
 @query("gbt_predict")
 def gbt_predict(spark, d):
     known, asked = _model(spark, d)
-    model = models.fit(known, FEATURES, trees=5, depth=4)
+    model = models.fit(known, FEATURES)
     return models.predict(model, asked, FEATURES, 1.0, 50.0).select("user_id", "item_id", "prediction")
 
 
 @query("rfe_select")
 def rfe_select(spark, d):
     known, asked = _model(spark, d)
-    steps = models.eliminate(known, asked, FEATURES, least=3, trees=2, depth=3)
+    steps = models.eliminate(known, asked, FEATURES)
     return spark.createDataFrame([(len(s["features"]), ",".join(s["features"]), float(s["rmse"])) for s in steps], "n int, features string, rmse double")
 
 
 @query("cv_search")
 def cv_search(spark, d):
     known, _ = _model(spark, d)
-    _, scores = models.search(known, FEATURES, {"maxDepth": [2, 3], "maxIter": [2]}, folds=2)
+    _, scores = models.search(known, FEATURES, {"maxDepth": [2, 3, 5], "maxIter": [2, 20]})
     return spark.createDataFrame([(int(s["maxDepth"]), int(s["maxIter"]), float(s["rmse"])) for s in scores], "max_depth int, max_iter int, rmse double")
 
 

@@ -110,3 +110,18 @@ def test_models_learn_and_reload(spark, tmp_path):
     assert len(steps) == 2 and "x" in min(steps, key=lambda s: s["rmse"])["features"]
     _, scores = models.search(df, ["x", "noise"], {"maxDepth": [1, 3], "maxIter": [2]}, folds=1)
     assert min(scores, key=lambda s: s["rmse"])["maxDepth"] == 3
+
+
+def test_registered_models_use_the_operators_defaults(spark, monkeypatch):
+    from quarry.plans import recommenders
+
+    asked = {}
+    monkeypatch.setattr(recommenders, "_model", lambda *a: (None, spark.range(1)))
+    monkeypatch.setattr(models, "fit", lambda *a, **b: asked.update(fit=b))
+    monkeypatch.setattr(models, "predict", lambda *a, **b: spark.range(1).selectExpr("id as user_id", "id as item_id", "0.0 as prediction"))
+    monkeypatch.setattr(models, "eliminate", lambda *a, **b: asked.update(eliminate=b) or [{"features": ["x"], "rmse": 1.0}])
+    monkeypatch.setattr(models, "search", lambda known, features, grid, **b: asked.update(search=b, grid=grid) or (None, [{"maxDepth": 5, "maxIter": 20, "rmse": 1.0}]))
+    for q in (recommenders.gbt_predict, recommenders.rfe_select, recommenders.cv_search):
+        q(spark, "")
+    assert asked["fit"] == asked["eliminate"] == asked["search"] == {}
+    assert 5 in asked["grid"]["maxDepth"] and 20 in asked["grid"]["maxIter"]
