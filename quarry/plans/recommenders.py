@@ -145,6 +145,13 @@ def hybrid_predict(spark, d):
     return recommend.hybrid(recommend.predict(test, train), model).withColumn("prediction", F.round("prediction", 4))
 
 
+@query("hybrid_gbt_predict")
+def hybrid_gbt_predict(spark, d):
+    """The hybrid of collaborative filtering and the tree model of ``gbt_predict``."""
+    train, test = ratings(spark, d)
+    return recommend.hybrid(recommend.predict(test, train), gbt_predict(spark, d)).withColumn("prediction", F.round("prediction", 4))
+
+
 @query("compliment_ratio", "select user_id, round(case when count(*) filter (event_type = 'purchase') > 0 then count(*) filter (event_type = 'click')::double / count(*) filter (event_type = 'purchase') else 0.0 end, 6) as ratio from events group by 1")
 def compliment_ratio(spark, d):
     e = table(spark, d, "events")

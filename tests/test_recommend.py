@@ -125,3 +125,15 @@ def test_registered_models_use_the_operators_defaults(spark, monkeypatch):
         q(spark, "")
     assert asked["fit"] == asked["eliminate"] == asked["search"] == {}
     assert 5 in asked["grid"]["maxDepth"] and 20 in asked["grid"]["maxIter"]
+
+
+def test_registered_hybrid_mixes_filtering_and_trees(spark):
+    from quarry.plans import registry, roles
+
+    d = "/root/testdata/sf0.001"
+    got, model = ({(r["user_id"], r["item_id"]): r["prediction"] for r in registry.queries()[q](spark, d).collect()} for q in ("hybrid_gbt_predict", "gbt_predict"))
+    train, test = roles.ratings(spark, d)
+    cf = {(r["user_id"], r["item_id"]): r["prediction"] for r in recommend.predict(test, train).collect()}
+    assert got.keys() == cf.keys() == model.keys() and len(got) > 0
+    for key, p in got.items():
+        assert p == pytest.approx(0.01 * cf[key] + 0.99 * model[key], abs=1e-4)
