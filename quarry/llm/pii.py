@@ -4,7 +4,8 @@ The base patterns (e-mail, IP, card, phone) are matched leftmost and without
 overlap over the whole text.  A character-level bidirectional LSTM with CRF
 transitions, trained in numpy from labelled spans that a seeded generator writes,
 then reads the places the patterns leave open: overlapping windows around every
-digit and ``@`` outside the base spans.  Each character takes its tag
+digit and ``@`` outside the base spans, and on from there while a tagged run goes
+up to the edge of what is read.  Each character takes its tag
 posteriors from the window in which it stands most centrally, so windows are
 reconciled into one tagging of the text; stretches that are sure enough and hold what
 their kind needs (digits, ``@``) become added spans unless they touch a base span.
@@ -186,6 +187,17 @@ def _fits(kind: str, piece: str) -> bool:
     return 9 <= n <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", piece))
 
 
+def _beside(read: dict, n: int, reach: int) -> list[int]:
+    """Windows next to a stretch of ``read`` ones whose tags go on up to its edge."""
+    last, more = max(0, (n - STEP // 2 - 1) // STEP), set()
+    for g, (_, tags, _) in read.items():
+        if tags[0] and g - 1 not in read:
+            more.update(range(max(0, g - reach), g))
+        if tags[-1] and g + 1 not in read:
+            more.update(range(g + 1, min(last, g + reach) + 1))
+    return sorted(more - read.keys())
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, str]]], sure: float = 0.9, at_once: int = 512):
     """For each text the spans (start, end, kind, score) that the tagger adds to its base spans."""
     need: list[tuple[int, int]] = []
@@ -198,22 +210,26 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int,
             if k < len(covered) and covered[k][0] <= p:
                 continue
             grid.update(range(max(0, (p - 48) // STEP), p // STEP + 1))
-        need += [(i, g) for g in sorted(grid)]
+        need += [(i, g) for g in sorted(grid) if g == 0 or g * STEP + STEP // 2 < len(text)]
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    tail: dict[int, list] = {}
-    for a in range(0, len(need), at_once):
-        part = need[a : a + at_once]
-        ids = np.zeros((WINDOW, len(part)), np.int64)
-        for j, (i, g) in enumerate(part):
-            s = symbols(texts[i][g * STEP : g * STEP + WINDOW])
-            ids[: len(s), j] = s
-        post = model.marginals(ids)
-        best, top = post.argmax(2), post.max(2)
-        for j, (i, g) in enumerate(part):  # a window speaks for its middle half, and for the text's start
-            lo = 0 if g == 0 else STEP // 2
-            hi = STEP // 2 + STEP
-            tail.setdefault(i, []).append((g * STEP + lo, best[lo:hi, j], top[lo:hi, j]))
-    for i, runs in tail.items():
+    tail: dict[int, dict] = {}
+    reach = 1
+    while need:  # until the tagger, not a window's edge, closes every run
+        for a in range(0, len(need), at_once):
+            part = need[a : a + at_once]
+            ids = np.zeros((WINDOW, len(part)), np.int64)
+            for j, (i, g) in enumerate(part):
+                s = symbols(texts[i][g * STEP : g * STEP + WINDOW])
+                ids[: len(s), j] = s
+            post = model.marginals(ids)
+            best, top = post.argmax(2), post.max(2)
+            for j, (i, g) in enumerate(part):  # a window speaks for its middle half, and for the text's start
+                lo = 0 if g == 0 else STEP // 2
+                hi = min(STEP // 2 + STEP, len(texts[i]) - g * STEP)
+                tail.setdefault(i, {})[g] = (g * STEP + lo, best[lo:hi, j], top[lo:hi, j])
+        need = [(i, g) for i in sorted({i for i, _ in need}) for g in _beside(tail[i], len(texts[i]), reach)]
+        reach *= 2
+    for i, found in tail.items():
         held, start, kind, score = base[i], None, 0, []
         end_of_last = None
 
@@ -227,7 +243,7 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int,
             if free and b > a and np.mean(score) >= sure and _fits(KINDS[kind - 1], text[a:b]) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
                 out[i].append((a, b, KINDS[kind - 1], float(np.mean(score))))
 
-        for at, tags, top in runs:
+        for _, (at, tags, top) in sorted(found.items()):
             if end_of_last is not None and at != end_of_last:
                 close(end_of_last)
                 start, kind, score = None, 0, []

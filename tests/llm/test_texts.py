@@ -79,6 +79,23 @@ def test_pii_edges(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_runs_are_closed_by_the_tagger_at_every_place():
+    class Lines:  # tags whole lines as e-mail, surely
+        def marginals(self, ids):
+            return np.eye(1 + 2 * len(pii.KINDS))[np.where((ids == 0) | (ids == 6), 0, 2)]
+
+    def found(model, address, between):
+        for k in range(64):
+            text = (between * 200)[: 99 + k] + between[-1] + address + between[-1] + (between[::-1] * 100)[:200]
+            got = pii.added_spans(model, [text], [pii.base_spans(text)])[0]
+            yield [(100 + k, 100 + k + len(address), "email")] == [x[:3] for x in got]
+
+    assert all(found(Lines(), "b" * 150 + " @ " + "c" * 150 + ".org", "\n"))
+    assert all(found(pii.fit(), "name @ mailserver.example.com", "the one then "))
+    end = "\n" * 100 + "b" * 150 + " @ " + "c" * 150 + ".org"
+    assert [x[:2] for x in pii.added_spans(Lines(), [end, end[100:]], [[], []])[0] + pii.added_spans(Lines(), [end[100:]], [[]])[0]] == [(100, 407), (0, 307)]
+
+
 def test_tagger_on_held_out_spans():
     ids, tags = pii.windows_of(pii.labelled_spans(200, 4242))
     found = pii.fit().marginals(ids).argmax(2)
