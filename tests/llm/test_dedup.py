@@ -278,3 +278,14 @@ def test_pipeline_edges(spark):
         assert p.redact_pii(spark, docs, SMALL).count() == docs.count()
         assert p.quality_rules(spark, docs, SMALL).filter("text is null or text = ''").count() == 0
         assert p.pack(spark, docs, SMALL).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_pairs_passed_over_are_rarer_than_pairs_that_banding_loses(spark, monkeypatch):
+    from math import comb
+
+    asked, settle = [], minhash_dedup._settle
+    monkeypatch.setattr(minhash_dedup, "_settle", lambda *a: asked.append(a) or settle(*a))
+    minhash_dedup.classes(spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string"))
+    (bands, threshold, slack), m = asked[0], 160
+    passed_over = sum(comb(m, i) * threshold**i * (1 - threshold) ** (m - i) for i in range(m + 1) if i / m < threshold - slack)
+    assert passed_over < (1 - threshold ** (m // bands)) ** bands / 100
