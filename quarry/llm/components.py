@@ -9,7 +9,7 @@ join, whose large partitions adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -18,28 +18,36 @@ from .common import discard, materialize
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _small(down: DataFrame) -> DataFrame:
+    """``down``: edges from a node u to a smaller one v, repeats allowed."""
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _step(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The written edges and their digest, taken in the same pass."""
+    seen = Observation()
+    digest = F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")
+    out = materialize(edges.observe(seen, *digest), "edges")
+    return out, seen.get
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (u, v) of longs, any direction, repeats and loops allowed; gives (node, component).
 
     The component is the smallest node that can be reached.  Nodes without an
     edge to another node are not listed.
     """
-    now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    digest = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    last = digest(now)
+    down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now, last = _step(down)
     for _ in range(rounds):
-        new = materialize(_small(_large(now)), "edges")
-        this = digest(new)
+        if not last["n"]:
+            break
+        new, this = _step(_small(_large(now)))
         discard(now)
         now = new
         if this == last:  # only stars around each component's smallest node are left

@@ -9,21 +9,19 @@ equals their probability Jaccard similarity.  Bands of registers make buckets,
 and pairs from buckets are verified on the exact weighted shingles of the texts.
 
 At the default 32 bands of 5 registers a pair at similarity 0.8 shares no bucket
-with a probability below 1e-5.
-
-Scale: documents of equal text are folded first (combined map-side).  Signatures
-are taken where texts are read; only bucket keys are shuffled for all documents.
-A bucket of any size gives pairs linearly: each member is verified against the
-bucket's leader.  After the links are joined to components, only buckets that
-still hold two components are looked at again, with other leaders.  What such
-buckets still hold apart is settled exactly inside blocks of at most ``2 * block``
-members, so that pairs never become rows: a pair of different components is taken
-up in the first band that brings it together, passed over if its registers agree
-6 deviations too rarely, and verified unless its components have met meanwhile; only
-links that join components leave the block.  Passing over is not exact: at similarity
-0.8 it loses a link between bucket members with a probability of about 1.5e-8, far
-below what banding loses.
-Only the texts of documents that share a bucket with another text are shuffled.
+with a probability below 1e-5.  Nothing else is lost: two members of a bucket end
+in one class unless every pair between their classes was found too unlike.
+
+Scale: documents of equal text are folded first (combined map-side) and named by
+a number of their own.  Signatures are taken where texts are read; only bucket
+keys are shuffled for all documents.  Buckets of the same members count once.  A
+bucket is dealt out in blocks bounded in members and in bytes.  In a block pairs
+never become rows: members are first joined along a spanning tree of the pairs that
+share most buckets, then pairs that are still apart are compared in the first band
+that brings them together, by counting common shingles on bit sets; what leaves it
+is one edge for a member.  After the edges are joined to components, a bucket of
+several blocks that still holds two components is settled between its blocks in the
+same way; only for such buckets do rows grow by the number of blocks.
 
 Defined results: null, empty and word-free texts, and rows with a null id, link
 with nothing (class = own id, kept).  Texts of fewer than five words have one
@@ -41,9 +39,9 @@ from pyspark.sql import functions as F
 
 from . import _shingles
 from ._grams import groups, raw
-from ._lean import lean
 from ._runs import runs
 from ._triggers import mix
+from ._unions import roots
 from .common import discard, materialize
 from .components import components
 
@@ -84,182 +82,219 @@ def _signatures(n: int, bands: int, rows: int):
         for batch in batches:
             texts = batch.column("text")
             for a, b in groups(texts, 2 << 20, 4096):
-                k = keys(raw(texts[a:b]))
-                array = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(k.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("fold")[a:b], array], names=["id", "fold", "keys"])
+                raws = raw(texts[a:b])
+                array = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys(raws).ravel()))
+                size = pa.array([len(r) for r in raws], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("fold")[a:b], size, array], names=["id", "fold", "bytes", "keys"])
 
     return run
 
 
-def _contents(n: int, bands: int, rows: int):
-    """Shingles, counts, registers (16 bits each) and bucket keys of each text."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in groups(batch.column("text"), 1 << 20, 1024):
-                raws = raw(batch.column("text")[a:b])
-                owner, h, count = _shingles.shingles(raws, n)
-                sig = registers(owner, h, count, len(raws), bands * rows)
-                keys = bucket_keys(sig, bands, rows)
-                cut = np.searchsorted(owner, np.arange(len(raws) + 1))
-                cols = [
-                    [h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
-                    [count[x:y].astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
-                    [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sig],
-                    [k.tobytes() for k in keys],
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], *[pa.array(c, pa.binary()) for c in cols]], names=["rep", "h", "count", "sig", "keys"])
-
-    return run
-
-
-def _settle(bands: int, threshold: float, slack: float):
-    """Links that join components inside one bucket block (first: marks members of its first block)."""
-
-    def block(batch):
-        rep, comp = batch.column("rep").to_numpy(), batch.column("component").to_numpy()
-        first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        sig = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("sig")), np.uint16).reshape(len(rep), -1)
-        keys = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("keys")), np.int64).reshape(len(rep), bands)
-        band = int(np.flatnonzero(keys[0] == batch.column("bucket")[0].as_py())[0])
-        whole = bool(first.all())
-        left = np.arange(len(rep)) if whole else np.flatnonzero(first)
-        right = left if whole else np.flatnonzero(~first)
-        ii, jj, agree = [], [], []
-        for at in range(0, len(left), 32):
-            i = left[at : at + 32]
-            able = comp[i][:, None] != comp[right][None]
-            if whole:
-                able &= i[:, None] < right[None]
-            for t in range(band):
-                able &= keys[i, t][:, None] != keys[right, t][None]
-            x, y = np.nonzero(able)
-            if len(x):
-                x, y = i[x], right[y]
-                same = np.concatenate([(sig[x[k : k + 16384]] == sig[y[k : k + 16384]]).mean(1) for k in range(0, len(x), 16384)])
-                ok = same >= threshold - slack
-                ii.append(x[ok])
-                jj.append(y[ok])
-                agree.append(same[ok])
-        if not ii:
-            return
-        ii, jj, agree = np.concatenate(ii), np.concatenate(jj), np.concatenate(agree)
-        parent: dict[int, int] = {}
-
-        def root(c):
-            while parent.get(c, c) != c:
-                parent[c] = parent.get(parent[c], parent[c])
-                c = parent[c]
-            return c
-
-        hs, cs = batch.column("h"), batch.column("count")
-        content: dict[int, tuple] = {}
-
-        def of(k):
-            if k not in content:
-                content[k] = np.frombuffer(hs[k].as_buffer(), np.uint64), np.frombuffer(cs[k].as_buffer(), np.int32)
-            return content[k]
-
-        for k in np.argsort(-agree, kind="stable"):
-            i, j = int(ii[k]), int(jj[k])
-            a, b = root(int(comp[i])), root(int(comp[j]))
-            if a != b and _shingles.similarity(*of(i), *of(j)) >= threshold:
-                parent[max(a, b)] = min(a, b)
-                yield int(rep[i]), int(rep[j])
-
-    def run(batches):
-        out = []
-        for batch in runs(batches, ("bucket", "lo", "hi")):
-            out += block(batch)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
-
-    return run
-
-
-def _verify(n: int, threshold: float):
-    def run(batches):
-        last, held = None, None
-        for batch in batches:
-            out = []
-            columns = [batch.column(c) for c in ("a", "b", "text_a", "text_b")]
-            for a, b, ta, tb in zip(*columns, strict=True):
-                if a.as_py() != last:
-                    last = a.as_py()
-                    held = _shingles.shingles([memoryview(ta.as_buffer()).tobytes()], n)[1:]
-                other = _shingles.shingles([memoryview(tb.as_buffer()).tobytes()], n)[1:]
-                out.append(_shingles.similarity(*held, *other) >= threshold)
-            hit = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([columns[0].filter(hit), columns[1].filter(hit)], names=["u", "v"])
-
-    return run
+def _keys(column, bands: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), bands)
+
+
+def tree(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A maximum spanning tree over members: an edge weighs as much as the buckets its ends share."""
+    n = len(keys)
+    best, near, out = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, bool)
+    child, at = np.empty(n - 1, np.int64), 0
+    for k in range(n - 1):
+        out[at] = True
+        same = (keys == keys[at]).sum(1)
+        closer = same > best
+        best[closer], near[closer] = same[closer], at
+        at = int(np.argmax(np.where(out, -2, best)))
+        child[k] = at
+    return child, near[child]
+
+
+def common(ids: np.ndarray, start: np.ndarray, able: np.ndarray, left: np.ndarray, right: np.ndarray, room: int = 32 << 20) -> np.ndarray:
+    """How many elements the able pairs of left and right members share (member k holds ``ids[start[k]:start[k + 1]]``).
+
+    Members are bit sets over a stretch of the elements at a time, so that they take at most ``room`` bytes.
+    """
+    n, shared = len(start) - 1, np.zeros(able.shape, np.int32)
+    owner = np.repeat(np.arange(n), np.diff(start))
+    seen = np.bincount(ids)
+    rank = np.cumsum(seen > 1) - 1  # elements of one member are in no pair
+    ok = seen[ids] > 1
+    owner, bit = owner[ok], rank[ids[ok]]
+    width = max(64, room // n // 8 * 64)
+    order = np.argsort(bit // width, kind="stable")
+    owner, bit = owner[order], bit[order]
+    stretch = bit // width
+    busy = np.flatnonzero(able.any(1))
+    edges = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1], [True]])) if len(stretch) else np.zeros(1, int)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        at = bit[lo:hi] - stretch[lo] * width
+        sets = np.zeros((n, (int(at.max()) // 64 + 1) * 64), np.uint8)
+        sets[owner[lo:hi], at] = 1
+        sets = np.packbits(sets, axis=1).view(np.uint64)
+        for i in busy:
+            to = np.flatnonzero(able[i])
+            shared[i, to] += np.bitwise_count(sets[left[i]] & sets[right[to]]).sum(1, dtype=np.int32)
+    return shared
+
+
+def alike(contents: list, able: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The able pairs (places in left and right) whose similarity reaches the threshold.
+
+    ``contents`` are (hashes, counts).  Texts without a repeated shingle are compared by their numbers of common
+    shingles.  A pair with any other text is at most as alike as the share of one's weight that the other holds
+    too; where that leaves the matter open, the pair is computed.
+    """
+    size = np.array([len(h) for h, _ in contents])
+    start = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate([h for h, _ in contents]), return_inverse=True)[1]
+    plain = np.array([len(c) == 0 or c.max() == c.min() for _, c in contents])
+    even = plain[left][:, None] & plain[right][None]
+    shared = common(ids, start, able & even, left, right)
+    union = size[left][:, None] + size[right][None] - shared
+    hit = able & even & (shared >= threshold * union) & (union > 0)
+    odd = able & ~even
+    for side, other, open_ in ((left, right, odd), (right, left, odd.T)):
+        for i in np.flatnonzero(open_.any(1) & ~plain[side]):
+            c = contents[side[i]][1]
+            weight = np.zeros(len(ids) and int(ids.max()) + 1)
+            weight[ids[start[side[i]] : start[side[i] + 1]]] = c
+            held = np.concatenate([[0.0], np.cumsum(weight[ids])])
+            held = held[start[other + 1]] - held[start[other]]
+            open_[i] &= held >= (threshold - 1e-9) * c.sum()
+    for i, j in zip(*np.nonzero(odd), strict=True):
+        hit[i, j] = _shingles.similarity(*contents[left[i]], *contents[right[j]]) >= threshold
+    return np.nonzero(hit)
+
+
+def _contents(texts, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles and their counts of each text."""
+    raws = raw(texts)
+    owner, h, count = _shingles.shingles(raws, n)
+    cut = np.searchsorted(owner, np.arange(len(raws) + 1))
+    return [(h[i:j], count[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _batches(batches, keys, limit: int = 1 << 20, rows: int = 1024):
+    """Lists of runs of about ``limit`` bytes of text, with the texts of all of them."""
+    held, size, many = [], 0, 0
+    for batch in runs(batches, keys):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        many += len(batch)
+        if size >= limit or many >= rows:
+            yield held, pa.chunked_array([x.column("text") for x in held]).combine_chunks()
+            held, size, many = [], 0, 0
+    if held:
+        yield held, pa.chunked_array([x.column("text") for x in held]).combine_chunks()
+
+
+def _edges(found):
+    out, held = [], 0
+    for u, v in found:
+        out.append((u, v))
+        held += len(u)
+        if held > 50_000 or len(out) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v"])
+            out, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v"])
+
+
+def _inside(n: int, bands: int, threshold: float):
+    """Links inside each block of a bucket: an edge from each member to the smallest member of its component."""
+
+    def block(rep, band, keys, contents):
+        near = lambda i, j: _shingles.similarity(*contents[i], *contents[j]) >= threshold
+        tied = [(i, j) for i, j in zip(*tree(keys), strict=True) if near(i, j)]
+        every = np.arange(len(rep))
+        i, j = (np.array(x, np.int64) for x in (zip(*tied, strict=True) if tied else ((), ())))
+        root = roots(len(rep), i, j)
+        if len(rep) > 2 and root.any():
+            able = (root[:, None] != root[None]) & (every[:, None] < every[None])
+            for t in range(band):  # met in an earlier band
+                able &= keys[:, t][:, None] != keys[:, t][None]
+            if able.any():
+                x, y = alike(contents, able, every, every, threshold)
+                root = roots(len(rep), np.append(i, x), np.append(j, y))
+        at = np.flatnonzero(root != every)
+        return rep[at], rep[root[at]]
+
+    def found(batches):
+        for held, texts in _batches(batches, ("bucket", "own")):
+            contents, at = _contents(texts, n), 0
+            for batch in held:
+                if len(batch) > 1:
+                    yield block(batch.column("rep").to_numpy(), batch.column("t")[0].as_py(), _keys(batch.column("keys"), bands), contents[at : at + len(batch)])
+                at += len(batch)
+
+    return lambda batches: _edges(found(batches))
+
+
+def _between(n: int, bands: int, threshold: float):
+    """Edges between components that meet between two blocks of a bucket (first: marks members of the first block)."""
+
+    def block(comp, first, band, keys, contents):
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        able = comp[left][:, None] != comp[right][None]
+        for t in range(band):  # met in an earlier band
+            able &= keys[left, t][:, None] != keys[right, t][None]
+        x, y = alike(contents, able, left, right, threshold) if able.any() else (left[:0], left[:0])
+        names, node = np.unique(comp, return_inverse=True)
+        root = roots(len(names), node[left[x]], node[right[y]])
+        at = np.flatnonzero(root != np.arange(len(names)))
+        return names[at], names[root[at]]
+
+    def found(batches):
+        for held, texts in _batches(batches, ("bucket", "lo", "hi")):
+            contents, at = _contents(texts, n), 0
+            for batch in held:
+                first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
+                yield block(batch.column("component").to_numpy(), first, batch.column("t")[0].as_py(), _keys(batch.column("keys"), bands), contents[at : at + len(batch)])
+                at += len(batch)
+
+    return lambda batches: _edges(found(batches))
 
 
 def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, leader_rounds: int = 2, block: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 2048, block_bytes: int = 16 << 20
 ) -> DataFrame:
     """One row per document: id, fold (digest of the text), class_id and kept."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("fold"), text.alias("text"))
     worded = src.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    signed = materialize(worded.mapInArrow(lean(_signatures(words, bands, rows)), "id long, fold binary, keys array<long>"), "signatures")
-    again = not signed.groupBy("id").count().filter("count > 1").isEmpty()  # ids that occur twice cannot name a text
-    reps = signed.groupBy("fold").agg(F.min("id").alias("least_id"), F.min_by("keys", "id").alias("keys"))
-    reps = reps.withColumn("rep", F.xxhash64("fold") if again else F.col("least_id"))
-    light = reps.select("rep", F.explode("keys").alias("bucket"))
-    shared = light.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    members = materialize(light.join(shared.select("bucket"), "bucket"), "buckets")  # buckets of two texts or more
-
-    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least_id").alias("id"), "fold")
-    texts = src.join(wanted, ["id", "fold"] if again else ["id"]).select(F.col("rep").alias("id"), "text")
-    texts = materialize(texts.dropDuplicates(["id"]) if again else texts, "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        met = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify(words, threshold)), "u long, v long"), "verified")
-
-    def apart(labels: DataFrame | None) -> DataFrame:
-        """Members of buckets that hold two components, with their component."""
-        if labels is None:
-            now = members.withColumn("component", F.col("rep"))
-        else:
-            now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
-        return now.join(split.select("bucket", "size"), "bucket")
-
-    links, labels, used = None, None, [members, texts]
-    for k in range(leader_rounds):
-        now = apart(labels)
-        order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
-        lead = now.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("lead"))
-        pairs = now.join(lead, "bucket").filter("component <> lead.component").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-        found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = found if links is None else links.unionByName(found)
-        used += [found, labels]
-        labels = components(links)
-    left = materialize(apart(labels), "left")
-    kept = texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    contents = materialize(kept.mapInArrow(lean(_contents(words, bands, rows)), "rep long, h binary, count binary, sig binary, keys binary"), "contents")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    dealt = left.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("bucket", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
-    met = dealt.join(contents, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    slack = 6 * float(np.sqrt(threshold * (1 - threshold) / (bands * rows)))
-    late = materialize(met.mapInArrow(lean(_settle(bands, threshold, slack)), "u long, v long"), "late")
-    if not late.isEmpty():
-        labels = components(links.unionByName(late))
-    discard(*used, left, contents, late)
-
-    folds = reps.select("fold", "rep", "least_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    if again:  # components are named by digests: their smallest ids are yet to be found
-        least = folds.groupBy("component").agg(F.min("least_id").alias("class_id")).filter("component is not null")
-        folds = folds.join(least, "component", "left").withColumn("component", F.col("class_id"))
-    folds = folds.select("fold", F.coalesce("component", "least_id").alias("class_id"))
-    out = src.select("id", "fold").join(folds, "fold", "left")
+    signed = materialize(worded.mapInArrow(_signatures(words, bands, rows), "id long, fold binary, bytes long, keys array<long>"), "signatures")
+    reps = signed.groupBy("fold").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))  # equal texts have equal keys
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "folds")
+
+    light = reps.select("rep", "bytes", F.posexplode("keys").alias("t", "bucket"))
+    whose = (F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size"), F.sum("rep").alias("sum"), F.bit_xor(F.xxhash64("rep")).alias("xor"))
+    shared = light.groupBy("bucket").agg(*whose, F.sum("bytes").alias("total"), F.min("t").alias("band")).filter("least < most")
+    alone = shared.groupBy("least", "most", "size", "sum", "xor").agg(F.min_by(F.struct("bucket", "total"), "band").alias("b"))  # the same members once
+    parts = F.ceil(F.greatest(F.col("size") / block, F.col("total") / block_bytes)).cast("int")
+    members = light.drop("bytes").join(alone.select("b.*", "size").withColumn("parts", parts).drop("total", "size"), "bucket")
+    members = materialize(members.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int")), "buckets")
+
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "fold", "keys")
+    texts = materialize(src.join(wanted, ["id", "fold"]).select("rep", "keys", "text").dropDuplicates(["rep"]), "texts")
+    met = members.join(texts, "rep").repartition("bucket", "own").sortWithinPartitions("bucket", "own", "rep")
+    labels = components(met.mapInArrow(_inside(words, bands, threshold), "u long, v long"))
+    named = reps.select("fold", "rep", "id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep"))
+
+    wide = members.filter("parts > 1")
+    if not wide.isEmpty():  # buckets of several blocks
+        now = wide.join(named.select("rep", "component"), "rep")
+        split = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+        sides = now.join(split.select("bucket"), "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("own <> other")
+        sides = sides.select("bucket", "t", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("first"))
+        met = sides.join(texts, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        late = components(met.mapInArrow(_between(words, bands, threshold), "u long, v long"))  # between components
+        late = late.select(F.col("node").alias("component"), F.col("component").alias("final"))
+        named = named.join(late, "component", "left").withColumn("component", F.coalesce("final", "component"))
+
+    named = materialize(named.select("fold", "id", "component"), "named")
+    discard(signed, reps, members, texts)
+    least = named.groupBy("component").agg(F.min("id").alias("class_id"))
+    out = src.select("id", "fold").join(named.select("fold", "component").join(least, "component"), "fold", "left")
     own = F.when(F.col("id").isNull() | F.col("class_id").isNull(), F.col("id")).otherwise(F.col("class_id"))
     return out.select("id", "fold", own.alias("class_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
-

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,14 +137,37 @@ def brute_classes(docs):
     return {k: u.find(k) for k, _ in docs}
 
 
-@pytest.mark.parametrize("rounds, block", [(2, 4096), (1, 4)])
-def test_near_documents_equal_brute_force(spark, rounds, block):
+@pytest.mark.parametrize("limits", [{}, {"block": 3}, {"block_bytes": 1500}])
+def test_near_documents_equal_brute_force(spark, limits):
     docs = near_docs()
-    got = minhash_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"), leader_rounds=rounds, block=block).collect()
+    got = minhash_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"), **limits).collect()
     assert {r["id"]: r["class_id"] for r in got} == brute_classes(docs)
     assert all(r["kept"] == (r["id"] == r["class_id"]) for r in got)
 
 
+@pytest.mark.parametrize("room", [1, 1 << 20])
+def test_alike_equals_all_pairs(room, monkeypatch):
+    monkeypatch.setattr(minhash_dedup.common, "__defaults__", (room,))
+    held = [minhash_dedup._contents(pa.array([t]), 5)[0] for _, t in near_docs()[:60]]
+    left, right = np.arange(0, 60, 2), np.arange(60)
+    able = (left[:, None] < right[None]) & (right % 7 > 0)[None]
+    got = set(zip(*minhash_dedup.alike(held, able.copy(), left, right, 0.8), strict=True))
+    want = {(i, j) for i, j in zip(*np.nonzero(able), strict=True) if _shingles.similarity(*held[left[i]], *held[right[j]]) >= 0.8}
+    assert got == want and want
+
+
+def test_spanning_tree_takes_the_heaviest_edges():
+    keys = np.random.default_rng(2).integers(0, 2, (12, 20))
+    child, parent = minhash_dedup.tree(keys)
+    weight = (keys[:, None] == keys[None]).sum(2)
+    heaviest, u = 0, Union()
+    for _, i, j in sorted(((-weight[i, j], i, j) for i in range(12) for j in range(i))):
+        if u.find(i) != u.find(j):
+            heaviest += weight[i, j]
+            u.join(i, j)
+    assert len(child) == 11 and weight[child, parent].sum() == heaviest
+
+
 def test_near_documents_edges(spark):
     assert minhash_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (None, "a b c d e f"), (2, "a b c d e f")]
@@ -279,13 +303,3 @@ def test_pipeline_edges(spark):
         assert p.quality_rules(spark, docs, SMALL).filter("text is null or text = ''").count() == 0
         assert p.pack(spark, docs, SMALL).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
-
-def test_pairs_passed_over_are_rarer_than_pairs_that_banding_loses(spark, monkeypatch):
-    from math import comb
-
-    asked, settle = [], minhash_dedup._settle
-    monkeypatch.setattr(minhash_dedup, "_settle", lambda *a: asked.append(a) or settle(*a))
-    minhash_dedup.classes(spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string"))
-    (bands, threshold, slack), m = asked[0], 160
-    passed_over = sum(comb(m, i) * threshold**i * (1 - threshold) ** (m - i) for i in range(m + 1) if i / m < threshold - slack)
-    assert passed_over < (1 - threshold ** (m // bands)) ** bands / 100
