@@ -102,7 +102,7 @@ def tree(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(n - 1):
         out[at] = True
         same = (keys == keys[at]).sum(1)
-        closer = same > best
+        closer = (same > best) & ~out
         best[closer], near[closer] = same[closer], at
         at = int(np.argmax(np.where(out, -2, best)))
         child[k] = at
