@@ -60,8 +60,8 @@ def brute_links(rows):
     return {k: (n[k], u.find(k)) for k, _, _ in rows}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_vectors_equal_brute_force(spark, block):
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 16 * 24 * 8}])
+def test_vectors_equal_brute_force(spark, limits):
     rng = np.random.default_rng(2)
     rows, k = [], 0
     for label in (0, 1):
@@ -75,7 +75,7 @@ def test_vectors_equal_brute_force(spark, block):
     rows += [(k, None, 0), (k + 1, [0.0] * 24, 0), (k + 2, [float("nan")] * 24, 0), (k + 3, [None] * 24, 0), (k + 4, rows[0][1], None), (k + 5, [], 0), (k + 6, [1e30] * 24, 1), (k + 7, [2e30] * 24, 1), (k + 8, [1.0, 2.0], 0), (k + 9, [float("inf")] * 24, 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, KEPT int")
     want = brute_links([(a, None if v is None else v, c) for a, v, c in rows])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(df, block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(df, **limits).collect()}
     assert got == want
 
 
@@ -87,6 +87,14 @@ def test_vectors_edges(spark):
     assert len(got) == 3 and all(r["kept"] for r in got)
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    near = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02], [0.0, 1.0]]
+    rows = [(1, near[0], 0), (1, near[1], 0), (2, near[2], 0), (2, near[3], 0), (3, near[2], 0)]
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    have = sorted((r["vec_id"], r["embedding"][1], r["n_links"], r["component_id"]) for r in got)
+    assert have == [(1, 0.0, 3, 1), (1, 0.01, 3, 1), (2, 0.02, 3, 1), (2, 1.0, 0, 2), (3, 0.02, 3, 1)]
+
+
 def test_register_agreement_estimates_the_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(1, 2**62, 300, dtype=np.uint64)
