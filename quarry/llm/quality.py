@@ -112,54 +112,55 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior_good: float = 0.85, accuracy: float = 0.9, strength: float = 0.25) -> dict:
+def _log_odds(model: dict, j: int, x: int) -> float:
+    """What vote ``x`` of rule ``j`` adds to the log odds of good."""
+    return math.log(max(model["tables"]["good"][j][x], 1e-9)) - math.log(max(model["tables"]["bad"][j][x], 1e-9))
+
+
+def posterior(model: dict, vote: tuple[int, ...]) -> float:
+    z = math.log(model["good"]) - math.log(1 - model["good"]) + sum(_log_odds(model, j, x) for j, x in enumerate(vote))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 5000, prior_good: float = 0.85, accuracy: float = 0.9, anchor: float = 20.0) -> dict:
     """EM for a two-class model whose rules vote independently given the class.
 
     ``patterns`` are distinct vote tuples with their counts.  A rule starts at
-    ``accuracy`` when it speaks, and pseudo-documents of ``strength`` times the
-    corpus hold it near; so the classes cannot swap, a rule without evidence
-    keeps its prior, and the fit is alike at every corpus size.
+    ``accuracy`` when it speaks.  ``anchor`` pseudo-documents of each class hold
+    that start: few enough to leave the estimate to any corpus of some hundreds
+    of documents, and enough that a tiny one neither swaps the classes nor gives
+    certainty.  Stops when no table entry moves by 1e-6; not to settle is an error.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
-    start = {"good": {1: accuracy, -1: 1 - accuracy}, "bad": {1: 1 - accuracy, -1: accuracy}}
-    speak = []
     total = sum(c for _, c in patterns)
-    for j in range(n_rules):
-        speak.append(sum(c for v, c in patterns if v[j]) / max(1, total))
-    table = {k: [{1: speak[j] * start[k][1], -1: speak[j] * start[k][-1], 0: 1 - speak[j]} for j in range(n_rules)] for k in start}
-    good = prior_good
-
-    def posterior(v) -> float:
-        z = math.log(good) - math.log(1 - good)
-        for j, x in enumerate(v):
-            z += math.log(max(table["good"][j][x], 1e-6)) - math.log(max(table["bad"][j][x], 1e-6))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-
-    held = strength * total
-    anchors = {k: [dict(p) for p in table[k]] for k in table}
+    right = {"good": {1: accuracy, -1: 1 - accuracy}, "bad": {1: 1 - accuracy, -1: accuracy}}
+    speak = [sum(c for v, c in patterns if v[j]) / max(1, total) for j in range(n_rules)]
+    start = {k: [{1: s * right[k][1], -1: s * right[k][-1], 0: 1 - s} for s in speak] for k in right}
+    model = {"good": prior_good, "tables": start}
     for _ in range(rounds if total else 0):
-        mass = {"good": 0.0, "bad": 0.0}
-        seen = {k: [{1: 0.0, -1: 0.0, 0: 0.0} for _ in range(n_rules)] for k in mass}
+        mass = dict.fromkeys(right, 0.0)
+        seen = {k: [{1: 0.0, -1: 0.0, 0: 0.0} for _ in range(n_rules)] for k in right}
         for v, c in patterns:
-            p = posterior(v)
+            p = posterior(model, v)
             for k, q in (("good", p * c), ("bad", (1 - p) * c)):
                 mass[k] += q
                 for j, x in enumerate(v):
                     seen[k][j][x] += q
-        for k in mass:
-            for j in range(n_rules):
-                for x in (1, -1, 0):
-                    table[k][j][x] = (seen[k][j][x] + held * anchors[k][j][x]) / (mass[k] + held)
-        good = min(0.999, max(0.001, (mass["good"] + held * prior_good) / (total + held)))
-    return {"good": good, "tables": table}
+        tables = {k: [{x: (seen[k][j][x] + anchor * start[k][j][x]) / (mass[k] + anchor) for x in (1, -1, 0)} for j in range(n_rules)] for k in right}
+        moved = max((abs(tables[k][j][x] - model["tables"][k][j][x]) for k in right for j in range(n_rules) for x in (1, -1, 0)), default=0.0)
+        model = {"good": (mass["good"] + anchor * prior_good) / (total + anchor), "tables": tables}
+        if moved < 1e-6:
+            return model
+    if total:
+        raise RuntimeError(f"expectation-maximisation did not settle in {rounds} rounds")
+    return model
 
 
 def posterior_column(model: dict, names: list[str]) -> Column:
     """The posterior probability of good as an expression over the vote columns."""
     z = F.lit(math.log(model["good"]) - math.log(1 - model["good"]))
     for j, name in enumerate(names):
-        a, b = model["tables"]["good"][j], model["tables"]["bad"][j]
-        gain = {x: math.log(max(a[x], 1e-6)) - math.log(max(b[x], 1e-6)) for x in (1, -1, 0)}
+        gain = {x: _log_odds(model, j, x) for x in (1, -1, 0)}
         z = z + F.when(F.col(name) == 1, F.lit(gain[1])).when(F.col(name) == -1, F.lit(gain[-1])).otherwise(F.lit(gain[0]))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
@@ -179,6 +180,8 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, t
     rows = held.select(*[c.alias(k) for k, c in rules.items()]).groupBy(*rules).count().collect()  # at most 3 ** 7 rows
     model = fit(sorted((tuple(r[k] for k in rules), r["count"]) for r in rows) or [((0,) * len(rules), 0)])
     late = ("base_failed", "p_good", "kept")
-    voted = held.select(*[c for c in held.columns if c.lower() not in late], *[c.alias(k) for k, c in rules.items()])
-    out = voted.withColumn("base_failed", base_failed()).withColumn("p_good", posterior_column(model, list(rules)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*rules)
+    kept = [f"`{c}`" for c in held.columns if c.lower() not in late]
+    inner = [hidden(held, k) for k in rules]  # the votes' names do not clash with the input's
+    voted = held.select(*kept, base_failed().alias("base_failed"), *[c.alias(k) for k, c in zip(inner, rules.values(), strict=True)])
+    out = voted.select(*kept, "base_failed", posterior_column(model, [f"`{k}`" for k in inner]).alias("p_good"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

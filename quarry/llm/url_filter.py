@@ -16,6 +16,7 @@ import functools
 import hashlib
 import itertools
 import math
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,32 +36,41 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-BAD_NAMES = (
-    "spam farm", "cheap pills", "casino win", "adult x", "free bets", "ads track", "click bait", "xxx video",
-    "poker room", "viagra shop", "hot dating", "payday loan", "fake watches", "torrent hub", "crack keygen",
-    "lottery prize", "link farm", "ad server", "malware drop", "phish login", "slots bonus", "porn tube",
-    "weight pills", "miracle cure", "betting odds", "escort city", "warez zone", "tracker pixel", "popup ads", "replica bags",
-)
-GOOD_NAMES = (
-    "news", "weather", "library", "school", "garden", "history", "science", "museum", "recipes", "travel", "music",
-    "health", "forum", "archive", "journal", "university", "research", "stories", "culture", "nature", "village",
-    "harbor", "mountain", "river", "kitchen", "photos", "theater", "painting", "another", "thering", "onthand",
-    "estion", "reandly", "innerth", "whisher", "oritable", "heating", "sharing", "andersen", "thousand", "tionable",
-    "entire", "northern", "seating", "whether", "reading", "printing", "station", "nation", "others", "shires", "ideas",
-)
+#: Words of hosts to block, by topic, and words that stand beside them; hosts are made of one of each by rule.
+BAD_WORDS = (
+    ("casino", "poker", "slots", "bets", "betting", "jackpot", "roulette", "bingo", "lottery"),
+    ("pills", "viagra", "steroids", "pharmacy", "miracle", "dieting"),
+    ("adult", "xxx", "porn", "escort", "cams", "dating"),
+    ("spam", "malware", "phishing", "warez", "crack", "keygen", "torrent"),
+    ("ads", "adserver", "tracker", "tracking", "popup", "clickbait", "linkfarm"),
+)
+BESIDE_BAD = ("online", "king", "bonus", "club", "best", "super", "max", "zone", "hot", "vip", "deal", "now")
+GOOD_WORDS = (
+    ("news", "weather", "library", "school", "garden", "history", "science", "museum", "recipes", "travel"),
+    ("music", "health", "forum", "archive", "journal", "university", "research", "stories", "culture", "nature"),
+    ("village", "harbor", "mountain", "river", "kitchen", "photos", "theater", "painting", "reading", "printing"),
+    ("maison", "jardin", "livres", "strasse", "wetter", "zeitung", "tiempo", "ciudad", "noticias", "escuela"),
+)
+BRANDS = 400
+BESIDE_GOOD = ("online", "city", "house", "club", "best", "north", "union", "zone", "group", "local", "daily", "now")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """The small labelled table: (host, path, 1 = block), made from the names above by rule."""
+    """The small labelled table: (host, path, 1 = block), made from the words above by rule."""
     rows = []
-    for i, (names, label) in enumerate(((BAD_NAMES, 1), (GOOD_NAMES, 0))):
-        for j, name in enumerate(names):
-            base = name.replace(" ", "-")
-            for k, tld in enumerate(("com", "net", "org")):
+    for label, topics, beside in ((1, BAD_WORDS, BESIDE_BAD), (0, GOOD_WORDS, BESIDE_GOOD)):
+        for j, word in enumerate(w for words in topics for w in words):
+            for k in range(6):
+                other = beside[(5 * j + 7 * k) % len(beside)]
+                name = (word, f"{word}-{other}", f"{other}-{word}", f"{word}{other}", f"my-{word}", f"{word}s")[k]
                 prefix = ("", "www.", "blog.", "m.")[(j + k) % 4]
-                lang = ("en", "de", "fr", "es")[(i + j + k) % 4]
+                lang = ("en", "de", "fr", "es")[(label + j + 3 * k) % 4]
                 tail = ("", "/", ".html")[(j + 2 * k) % 3]
-                rows.append((f"{prefix}{base}.example.{tld}", f"/{lang}/{37 * (j + 1) + k}{tail}", label))
+                rows.append((f"{prefix}{name}.example.{('com', 'net', 'org')[(j + k) % 3]}", f"/{lang}/{37 * (j + 1) + k}{tail}", label))
+    r = random.Random(11)
+    for j in range(BRANDS):  # names that say nothing are to be allowed
+        name = "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(("", "", "l", "n", "r", "x")) for _ in range(2 + j % 3))
+        rows.append((f"{('', 'www.', 'blog.', 'm.')[j % 4]}{name}.example.{('com', 'net', 'org')[j % 3]}", f"/{('en', 'de', 'fr', 'es')[j // 4 % 4]}/{13 * j}", 0))
     return rows
 
 
@@ -78,8 +88,8 @@ def _grams(s: str, n: int) -> list[str]:
     return [s[i : i + n] for i in range(len(s) - n + 1)]
 
 
-def fit(rows, n: int = 4, buckets: int = 4096, epochs: int = 400, l2: float = 1e-3, max_rows: int = 10_000) -> UrlModel:
-    """Full-batch logistic regression.  ``rows`` are (host, path, label); more than ``max_rows`` is an error.
+def fit(rows, n: int = 4, buckets: int = 16384, epochs: int = 1500, l2: float = 1e-5, step: float = 1.0, max_rows: int = 10_000) -> UrlModel:
+    """Full-batch logistic regression with momentum.  ``rows`` are (host, path, label); more than ``max_rows`` is an error.
 
     An n-gram's bucket is the first 32 bits of its MD5 modulo ``buckets``, which Spark
     and SQL engines compute alike.
@@ -92,11 +102,13 @@ def fit(rows, n: int = 4, buckets: int = 4096, epochs: int = 400, l2: float = 1e
         for g in _grams(host + path, n):
             x[i, int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % buckets] += 1
     x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
-    w, b, step = np.zeros(buckets), -math.log(2), 0.5
+    share = np.where(y == 1, y.sum(), (1 - y).sum())  # both labels weigh alike
+    w, b, speed, pace = np.zeros(buckets), 0.0, np.zeros(buckets), 0.0
     for _ in range(epochs):
-        g = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= step * (x.T @ g / max(1, len(y)) * 10 + l2 * w)
-        b -= step * g.mean() if len(y) else 0.0
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) / np.maximum(2 * share, 1)
+        speed = 0.95 * speed - step * (x.T @ g + l2 * w)
+        pace = 0.95 * pace - step * g.sum()
+        w, b = w + speed, b + pace
     return UrlModel(tuple(float(v) for v in w), float(b), n)
 
 

@@ -3,6 +3,7 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,50 @@ def test_quality_empty_table_and_clashing_columns(spark):
     assert [c.lower() for c in out.columns].count("kept") == 1 and out.first()["n_words"] == 2
 
 
+def test_quality_columns_named_like_votes_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x", 2.5, 3)], "doc_id long, text string, v_length int, `V_stop` string, p_good double, `n upper` int")
+    out = quality.judge(docs)
+    row = out.first().asDict()
+    assert (row["v_length"], row["V_stop"], row["n upper"]) == (5, "x", 3) and row["p_good"] < 1 and len(set(out.columns)) == len(out.columns)
+
+
+def brute_em(votes, anchor=20.0, prior=0.85, accuracy=0.9):
+    """EM over every document on its own."""
+    v = np.array(votes)
+    hot = np.stack([v == 1, v == -1, v == 0], 2).astype(float)  # document, rule, vote
+    speak = (v != 0).mean(0)
+    start = np.array([[[s * a, s * (1 - a), 1 - s] for s in speak] for a in (accuracy, 1 - accuracy)])
+    table, good = start, prior
+    for _ in range(3000):
+        z = np.log(good / (1 - good)) + (hot * (np.log(np.maximum(table[0], 1e-9)) - np.log(np.maximum(table[1], 1e-9)))).sum((1, 2))
+        p = 1 / (1 + np.exp(-z))
+        q = np.stack([p, 1 - p])
+        table = (np.einsum("kd,djx->kjx", q, hot) + anchor * start) / (q.sum(1)[:, None, None] + anchor)
+        good = (p.sum() + anchor * prior) / (len(v) + anchor)
+    return p, table
+
+
+def test_posteriors_equal_brute_force(spark):
+    counted = quality.counts(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    votes = counted.select("doc_id", *[c.alias(k) for k, c in quality.votes().items()]).toPandas().sort_values("doc_id")
+    want, _ = brute_em(votes.drop(columns="doc_id").to_numpy())
+    got = queries.op7_quality_rules(spark, DATA).toPandas().sort_values("doc_id")
+    assert np.abs(got.p_good.to_numpy() - want).max() < 1e-3
+    assert ((got.p_good >= 0.5) & ~got.base_failed).equals(got.kept)
+
+
+def test_em_finds_the_accuracies_and_a_coin_flip():
+    rng = np.random.default_rng(1)
+    truth = np.where(rng.random(20_000) < 0.1, -1, 1)
+    right = np.array([0.9, 0.85, 0.8, 0.5])
+    v = np.where(rng.random((20_000, 4)) < right, truth[:, None], -truth[:, None])
+    pattern, n = np.unique(v, axis=0, return_counts=True)
+    model = quality.fit([(tuple(int(x) for x in p), int(c)) for p, c in zip(pattern, n, strict=True)])
+    assert model["good"] == pytest.approx(0.9, abs=0.02)
+    assert [model["tables"]["good"][j][1] for j in range(4)] == pytest.approx(right, abs=0.03)
+    assert [model["tables"]["bad"][j][-1] for j in range(4)] == pytest.approx(right, abs=0.05)
+
+
 def brute_rule(host, path):
     best = None
     for verdict, h, p in url_filter.RULES:
@@ -95,11 +140,15 @@ def test_url_model_learns_its_table_and_is_bounded():
         url_filter.fit(rows, max_rows=10)
 
 
-def test_url_verdicts_on_the_table(spark):
-    got = queries.op6_url_filter(spark, "/root/testdata/sf0.01").toPandas()
+def test_url_verdicts_on_unseen_hosts(spark):
+    got = queries.op6_url_filter(spark, "/root/testdata/sf0.1").toPandas()
+    site = lambda h: h.str.extract(r"([^.]+)\.example\.", expand=False)
+    learned = {h.split(".example.")[0].split(".")[-1] for h, _, _ in url_filter.labelled_urls()}
+    assert not learned & set(site(got.host).dropna())
     free = got[got["rule"].isna()]
     bad = free.host.str.contains("spam|pills|casino|adult|bets|track")
-    assert (free[bad].verdict == "block").mean() > 0.9 and (free[~bad].verdict == "allow").mean() > 0.95
+    print("blocked of unseen junk hosts", (free[bad].verdict == "block").mean(), "allowed of others", (free[~bad].verdict == "allow").mean())
+    assert (free[bad].verdict == "block").mean() > 0.7 and (free[~bad].verdict == "allow").mean() > 0.95
 
 
 def test_secrets(spark):
