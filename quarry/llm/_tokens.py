@@ -1,22 +1,28 @@
 """Token ids of whole texts by a ``tokenizers`` file, with a cache of word pieces.
 
-The file's normaliser, splitter and BPE give the same ids for a word wherever it
-stands, so for texts of plain characters (printable ASCII and Latin-1 letters)
-the text is split here and each distinct word goes through the tokenizer once for
-as long as the cache (``cap`` words) holds it.  All other texts, and those that
-hold the text of a special token, go through the tokenizer whole.
+Where a file lower-cases and splits as ``_RULES`` says, a word has the same ids
+wherever it stands, so texts of plain characters (printable ASCII and Latin-1
+letters) are split here and each distinct word goes through the tokenizer once for
+as long as the cache (``cap`` words) holds it.  All other texts, those that hold the
+text of a special token, and all texts of other files go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
 import numpy as np
 
 _OTHER = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]|<\|")
-#: The file's own splitting pattern, for lower-case plain text; fixed value.
+#: The normaliser and splitter that words are cached for; fixed values of the file format.
+_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+#: The same splitting pattern for lower-case plain text.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-zß-öø-ÿ]+")
 
 
@@ -47,6 +53,10 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.whole, self.cap = Tokenizer.from_file(path), cap
+        file = json.loads(self.whole.to_str())
+        split = file["pre_tokenizer"] or {}
+        special = all(t["content"].startswith("<|") for t in file["added_tokens"])
+        self.by_word = special and (file["normalizer"], split.get("pretokenizers", [None])[0]) == _RULES
         self._clear()
 
     def _clear(self) -> None:
@@ -80,7 +90,7 @@ class Tokeniser:
         if len(self.slot) > self.cap:
             self._clear()
         for i, t in enumerate(texts):
-            if _OTHER.search(t):
+            if not self.by_word or _OTHER.search(t):
                 chunks[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
             else:
                 plain.append(i)

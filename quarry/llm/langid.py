@@ -89,16 +89,18 @@ def decode(model: Model, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def sample(docs: DataFrame, lang: str, text: str, key: str, per_language: int, max_languages: int, max_bytes: int):
-    """The bounded training sample as a list of rows (text, lang)."""
+    """The bounded training sample as a list of rows (text, lang), the same in every run.  Too many labels are an error."""
     able = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
     able = able.filter("lang is not null and text is not null")
-    found = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = able.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} labels")
     if not found:
         return []
     rate = F.create_map(*[F.lit(v) for r in found for v in (r["lang"], min(1.0, per_language / r["count"]))])
     u = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = able.filter((u < rate[F.col("lang")]) & (F.octet_length("text") <= max_bytes))
-    return chosen.select("text", "lang").limit(2 * per_language * len(found)).collect()
+    chosen = able.filter((u < rate[F.col("lang")]) & (F.octet_length("text") <= max_bytes)).withColumn("u", u / rate[F.col("lang")])
+    return chosen.orderBy("u", "key", "lang", F.xxhash64("text"), "text").limit(2 * per_language * len(found)).select("text", "lang").collect()
 
 
 def identify(

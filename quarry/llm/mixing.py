@@ -4,7 +4,9 @@ A softmax classifier on hashed n-grams, fitted on a bounded labelled table,
 predicts each document's domain posteriors p.  With t tokens in a document and a
 rate r (how often it is to be read), a domain's expected tokens are the sum of
 r * t * p.  Accelerated projected-gradient least squares fits rates at or above
-``least`` whose expected domain totals match the target totals.
+``least`` whose expected domain totals match the target totals.  Gaps are measured in
+the norm of the domains' inverse Gram matrix, in which all directions are alike, so a
+few rounds settle it (one, where no rate meets its bound).
 
 Scale: texts are read once, where they are; what follows works on a written
 table of (id, tokens, posteriors).  A rate is a function of the posteriors and
@@ -15,13 +17,18 @@ move only along posteriors, so documents alike in posterior get like rates.
 
 Defined results: a null or empty text has 0 tokens, the posterior of a text
 without n-grams, and a rate like any other.  Repeated rows get equal rates.  With an
-empty table the result is empty; a domain that no labelled text has cannot be
-a target (ValueError).  Extra columns pass through, an input column named like an
-output column gives way.
+empty table the result is empty.  Without any labelled text nothing is known of
+domains: posteriors are empty and all rates alike.  Where some texts are labelled, a
+domain that none has cannot be a target (ValueError).  ``gap`` is the largest
+distance between a domain's expected and target share of the corpus' tokens (the
+same in every row); above ``tolerance``, where no rates reach the targets, it
+is also warned of.  Extra columns pass through, an input column named like an output
+column gives way.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,12 +77,12 @@ def _tokens(raw: bytes) -> int:
     return int(np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum()) if len(raw) else 0
 
 
-def rates(p: np.ndarray, gradients: list[np.ndarray], step: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+def rates(p: np.ndarray, gradients: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the rounds so far, and the extrapolated point of the next round."""
     now = point = np.maximum(np.ones(len(p)), least)
     momentum = 1.0
     for g in gradients:
-        new = np.maximum(least, point - step * (p @ g))
+        new = np.maximum(least, point - p @ g)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         point = new + (momentum - 1) / after * (new - now)
         now, momentum = new, after
@@ -95,29 +102,27 @@ def mix(
     key_col: str = "doc_id",
     total_factor: float | None = 1.0,
     least: float = 0.0,
-    rounds: int = 60,
+    rounds: int = 100,
     tolerance: float = 1e-4,
     per_domain: int = 500,
     max_domains: int = 64,
     max_bytes: int = 20_000,
 ) -> DataFrame:
-    """Adds n_tokens, posteriors (map of domain to probability) and rate to every row of ``docs``.
+    """Adds n_tokens, posteriors (map of domain to probability), rate and gap to every row of ``docs``.
 
-    ``targets`` are weights by domain (scaled to sum to 1) of ``total_factor`` times
-    the corpus' tokens (None: the least factor at which no domain has to shrink).  ``labelled`` holds texts and their domain.
+    ``targets`` are weights by domain (scaled to sum to 1) of ``total_factor`` times the corpus' tokens (None: one
+    hundredth above the least factor at which no domain has to shrink).  ``labelled`` holds texts and their domain.
     """
     spark = docs.sparkSession
     rows = sorted((r["lang"], r["text"].encode()) for r in langid.sample(labelled, label_col, text_col, key_col, per_domain, max_domains, max_bytes))
-    new = ("n_tokens", "posteriors", "rate")
+    new = ("n_tokens", "posteriors", "rate", "gap")
     names = [c for c in docs.columns if c.lower() not in new]
     src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     out_schema = T.StructType(list(src.schema.fields))
     out_schema.add("n_tokens", T.LongType()).add("posteriors", T.ArrayType(T.DoubleType()))
-    model = fit([t for _, t in rows], [k for k, _ in rows]) if rows else None
-    if unknown := set(targets) - set(model.names if model else ()):
-        if rows:
-            raise ValueError(f"no labelled text for domains {sorted(unknown)}")
-        model = Domains(tuple(sorted(targets)), np.zeros((_grams.BUCKETS, len(targets)), np.float32), np.zeros(len(targets), np.float32))
+    model = fit([t for _, t in rows], [k for k, _ in rows]) if rows else Domains((), np.zeros((_grams.BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+    if rows and (unknown := set(targets) - set(model.names)):
+        raise ValueError(f"no labelled text for domains {sorted(unknown)}")
     k, at = len(model.names), f"c{names.index(text_col)}"
 
     def run(batches):
@@ -125,7 +130,7 @@ def mix(
             texts = batch.column(at)
             for a, b in _grams.groups(texts):
                 raws = _grams.raw(texts[a:b])
-                p = model.posteriors(raws).astype(float)
+                p = model.posteriors(raws).astype(float) if k else np.zeros((len(raws), 0))
                 cols = [batch.column(c)[a:b] for c in batch.schema.names]
                 extra = [pa.array([_tokens(r) for r in raws], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * k, pa.int32()), pa.array(p.ravel()))]
                 yield pa.RecordBatch.from_arrays(cols + extra, names=[*batch.schema.names, "n_tokens", "posteriors"])
@@ -148,33 +153,41 @@ def mix(
             out[r["i"]] = r["x"]
         return out
 
-    first = sums(lambda p, t: np.concatenate([(p * t[:, None]).T @ p, [(p.T @ t)]]).ravel(), (k + 1) * k).reshape(k + 1, k)
-    gram, total = first[:k], float(first[k].sum())
-    weight = np.array([targets.get(n, 0.0) for n in model.names])
-    weight = weight / max(weight.sum(), 1e-300)
-    if total_factor is None:
-        total_factor = float(np.max(first[k] / max(total, 1e-300) / np.maximum(weight, 1e-9), where=weight > 0, initial=1.0))
-    goal = weight * total_factor
     gradients: list[np.ndarray] = []
-    step = 1.0 / max(float(np.linalg.eigvalsh(gram / total)[-1]), 1e-9) if total > 0 else 1.0
-    point = first[k] / max(total, 1e-300) * max(1.0, least)
-    for _ in range(rounds if total > 0 else 0):
-        if np.abs(point - goal).max() <= tolerance:
-            break
-        gradients.append(point - goal)
-        fixed = list(gradients)
-        point = sums(lambda p, t: p.T @ (t * rates(p, fixed, step, least)[1]), k) / total
+    gap, alike = 0.0, 1.0
+    if k:
+        first = sums(lambda p, t: np.concatenate([(p * t[:, None]).T @ p, [(p.T @ t)]]).ravel(), (k + 1) * k).reshape(k + 1, k)
+        total = max(float(first[k].sum()), 1e-300)  # posteriors sum to 1, so this counts tokens
+        share, weight = first[k] / total, np.array([targets.get(n, 0.0) for n in model.names])
+        weight = weight / max(weight.sum(), 1e-300)
+        if total_factor is None:
+            total_factor = 1.01 * float(np.max(share / np.maximum(weight, 1e-9), where=weight > 0, initial=1.0))
+        goal, whiten = weight * total_factor, np.linalg.pinv(first[:k] / total, rcond=1e-9, hermitian=True)
+        point = share * max(1.0, least)
+        gap = float(np.abs(point - goal).max()) if share.sum() else 0.0
+        while gap > tolerance and len(gradients) < rounds:
+            gradients.append(whiten @ (point - goal))
+            fixed = list(gradients)
+            point = sums(lambda p, t: p.T @ (t * rates(p, fixed, least)[1]), k) / total
+            gap = float(np.abs(point - goal).max())
+        if gap > tolerance:
+            warnings.warn(f"the targets are missed by up to {gap:.4f} of the corpus' tokens", stacklevel=2)
+    else:
+        alike = total_factor or 1.0
 
     def last(batches):
         for batch in batches:
-            p, _ = _matrix(batch, k)
-            r = rates(p, gradients, step, least)[0]
+            if k:
+                r = rates(_matrix(batch, k)[0], gradients, least)[1]  # the point whose gap was measured
+            else:
+                r = np.full(len(batch), max(least, alike))
             cols = [batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r)], names=[*batch.schema.names, "rate"])
 
     done = held.mapInArrow(last, T.StructType([*held.schema.fields, T.StructField("rate", T.DoubleType())]))
-    keys = F.array(*[F.lit(n) for n in model.names])
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_tokens", F.map_from_arrays(keys, F.col("posteriors")).alias("posteriors"), "rate")
+    done = done.withColumn("gap", F.lit(gap))
+    keys = F.array(*[F.lit(n) for n in model.names]).cast("array<string>")
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_tokens", F.map_from_arrays(keys, F.col("posteriors")).alias("posteriors"), "rate", "gap")
 
 
 def repeats(rate, *key):

@@ -4,9 +4,12 @@ Method: pattern packing by non-negative least squares.  Lengths fall into
 ``classes`` classes (a length counts as its class's upper end, so a pattern
 always fits).  All patterns of two or three classes that fill a sequence are
 enumerated, repeat counts are fitted to the length histogram by non-negative
-least squares (active set), rounded to what is there, and what is left is packed
+least squares (active set) and rounded to what is there.  A pattern's last piece is
+the longest that still fits, so that classes cost no room.  What is left is packed
 best-fit, longest first, into the room that the patterns leave and into new
-sequences.  A document longer than a sequence is first cut into full pieces.
+sequences.  Patterns are used whole, to a half, to a quarter or not at all,
+whichever takes the fewest sequences, so they never cost any.  A document longer than
+a sequence is first cut into full pieces.
 
 Scale: texts are tokenised where they are read; only (piece, length, checksum)
 rows are written to the shared folder.  The driver sees the histogram, at most
@@ -22,6 +25,7 @@ Extra columns are not carried; join on the id.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -106,53 +110,76 @@ def _patterns(classes: int) -> list[tuple[int, ...]]:
     return two + three
 
 
+def fitted(histogram: dict[int, int], capacity: int, classes: int) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns and their repeat counts, most frequent first."""
+    width, b = capacity / classes, np.zeros(classes)
+    for n, c in histogram.items():
+        b[int(-(-n // width)) - 1] += c
+    b[-1] = 0.0  # those fill a sequence alone
+    patterns = [p for p in _patterns(classes) if all(b[c - 1] for c in p)]
+    a = np.zeros((classes, len(patterns)))
+    for j, p in enumerate(patterns):
+        np.add.at(a[:, j], np.array(p) - 1, 1)
+    x = nnls(a, b)
+    return [(patterns[j], float(x[j])) for j in np.argsort(-x, kind="stable") if x[j] > 0]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 128) -> tuple[np.ndarray, int]:
     """Ranges (length, first rank, count, first sequence, pieces of it in a sequence, offset), and the number of sequences."""
+    repeats = fitted(histogram, capacity, classes)
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best = None
+    for share in (1.0, 0.5, 0.25, 0.0):
+        rows, sequences = _filled(histogram, [(p, x * share) for p, x in repeats], capacity, classes)
+        if best is None or sequences < best[1]:
+            best = rows, sequences
+        if sequences == least:
+            break
+    return best
+
+
+def _filled(histogram: dict[int, int], repeats: list[tuple[tuple[int, ...], float]], capacity: int, classes: int) -> tuple[np.ndarray, int]:
     left = {n: c for n, c in sorted(histogram.items(), reverse=True) if c}
     taken = dict.fromkeys(left, 0)
     rows: list[tuple[int, int, int, int, int, int]] = []
     room: list[list] = [[] for _ in range(capacity + 1)]  # room[r]: runs (first sequence, count) with r tokens free
     some = 0  # bit r: room[r] has runs
     sequences = 0
+    rising = sorted(left)  # lengths that are left
 
     def put(n: int, count: int, first: int, per: int, offset: int) -> None:
         rows.append((n, taken[n], count, first, per, offset))
         taken[n] += count
         left[n] -= count
 
+    def longest(top: int, heads: list[int]) -> int | None:
+        """The longest length up to ``top`` that is left beside the heads."""
+        for at in range(bisect.bisect_right(rising, top) - 1, -1, -1):
+            if left[rising[at]] > heads.count(rising[at]):
+                return rising[at]
+        return None
+
     width = capacity / classes
-    by_class: dict[int, list[int]] = {}
-    for n in left:
-        by_class.setdefault(int(-(-n // width)), []).append(n)
-    patterns = _patterns(classes)
-    a = np.zeros((classes, len(patterns)))
-    for j, p in enumerate(patterns):
-        for c in p:
-            a[c - 1, j] += 1
-    b = np.array([float(sum(left[n] for n in by_class.get(c + 1, []))) for c in range(classes)])
-    b[-1] = 0.0  # those fill a sequence alone
-    x = nnls(a, b)
-    have = b.astype(np.int64)
-    for j in np.argsort(-x, kind="stable"):
-        if x[j] < 0.5:
-            break
-        p = patterns[j]
-        count = min(int(round(x[j])), *(int(have[c - 1]) // p.count(c) for c in p))
-        for c in p:
-            have[c - 1] -= count
+    for p, x in repeats:
+        count = round(x)
         while count > 0:  # runs of sequences whose pieces have the same lengths
             heads: list[int] = []
-            for c in p:
-                own = by_class[c]
-                while not left[own[0]]:
-                    own.pop(0)
-                heads.append(next(n for n in own if left[n] > heads.count(n)))
+            for k, c in enumerate(p):
+                last = k == len(p) - 1
+                n = longest(capacity - sum(heads) if last else int(c * width), heads)
+                if n is None or n <= (c - 1) * width:  # the class is used up
+                    break
+                heads.append(n)
+            if len(heads) < len(p):
+                break
             run = min([count, *(left[n] // heads.count(n) for n in heads)])
             offset = 0
             for n in dict.fromkeys(heads):
                 k = heads.count(n)
                 put(n, run * k, sequences, k, offset)
                 offset += n * k
+                if not left[n]:
+                    rising.remove(n)
             room[capacity - offset].append((sequences, run))
             some |= 1 << capacity - offset
             sequences += run
@@ -220,7 +247,7 @@ def pack(
     offsets = counts.select("pid", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     ranges, _ = plan(histogram, capacity, classes)
-    ranked = pieces.join(offsets, ["pid", "length"])
+    ranked = pieces.join(offsets.hint("shuffle_hash"), ["pid", "length"])  # grows with the input, so it is not broadcast
     kept = ["id", "piece", "start", "length", "crc", *(["ids"] if keep_ids else [])]
     ranked = ranked.select(*kept, (F.col("rank") + F.col("base")).alias("rank"))
     out = "id long, piece int, start long, length long, crc long, " + ("ids array<int>, " if keep_ids else "") + "sequence_id long, offset long"

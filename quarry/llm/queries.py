@@ -64,7 +64,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, domain posteriors and fitted rate of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = mixing.mix(docs, mixing_labels(spark, sf_dir), TARGETS)
-    return out.select("doc_id", "n_tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in sorted(TARGETS)], "rate")
+    return out.select("doc_id", "n_tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in sorted(TARGETS)], "rate", "gap")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
