@@ -53,10 +53,10 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.whole, self.cap = Tokenizer.from_file(path), cap
-        file = json.loads(self.whole.to_str())
-        split = file["pre_tokenizer"] or {}
-        special = all(t["content"].startswith("<|") for t in file["added_tokens"])
-        self.by_word = special and (file["normalizer"], split.get("pretokenizers", [None])[0]) == _RULES
+        rule = lambda part: json.loads(part.__getstate__()) if part else {}
+        split = rule(self.whole.pre_tokenizer).get("pretokenizers", [None])[0]
+        special = all(t.content.startswith("<|") for t in self.whole.get_added_tokens_decoder().values())
+        self.by_word = special and (rule(self.whole.normalizer), split) == _RULES
         self._clear()
 
     def _clear(self) -> None:
