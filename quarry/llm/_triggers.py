@@ -97,13 +97,13 @@ def phrases(block: np.ndarray, ends: np.ndarray, span: int, k: int):
     """Phrases of texts laid side by side (``ends``: where each ends).
 
     Returns (text index, start in the block, number of windows, trigger hash,
-    prefix sums).  Blocks hold at most 2**24 bytes.
+    place of the trigger in the phrase).  Blocks hold at most 2**24 bytes.
     """
     h = rolling(block, k)
     n = len(block) - span + 1
     empty = np.empty(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, np.empty(0, np.uint64), prefix(block)
+        return empty, empty, empty, np.empty(0, np.uint64), empty
     at = np.arange(len(h), dtype=np.uint64)
     at |= h & ~_POS
     a = (window_min(at, span - k + 1)[:n] & _POS).astype(np.int32)
@@ -113,4 +113,4 @@ def phrases(block: np.ndarray, ends: np.ndarray, span: int, k: int):
     new[1:] &= (a[1:] != a[:-1]) | ~valid[:-1]
     lo = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.concatenate([(a[1:] != a[:-1]) | ~valid[1:], [True]]))
-    return text[lo], lo, stop - lo + 1, h[a[lo]], prefix(block)
+    return text[lo], lo, stop - lo + 1, h[a[lo]], a[lo] - lo

@@ -240,13 +240,53 @@ def repeat_docs():
     return docs
 
 
-@pytest.mark.parametrize("hot, block, flush", [(65_536, 1 << 19, 500_000), (2, 256, 50)])
-def test_repeated_bytes_equal_brute_force(spark, monkeypatch, hot, block, flush):
-    for name, value in (("HOT_PHRASES", hot), ("BLOCK", block), ("FLUSH_ROWS", flush)):
+LIMITS = [{}, {"HOT_PHRASES": 2, "BLOCK": 256, "FLUSH_ROWS": 50}, {"WINDOWS": 40}]
+
+
+@pytest.mark.parametrize("limits, parts", [(x, {}) for x in LIMITS] + [(LIMITS[1], {"bucket_bytes": 500, "most_parts": 3})])
+def test_repeated_bytes_equal_brute_force(spark, monkeypatch, limits, parts):
+    for name, value in limits.items():
         monkeypatch.setattr(substring_dedup, name, value)
     docs = repeat_docs()
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, KEPT string, key int").repartition(5)
-    assert digests(substring_dedup.remove_repeats(df)) == brute_repeats(docs)
+    assert digests(substring_dedup.remove_repeats(df, **parts)) == brute_repeats(docs)
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 256, "FLUSH_ROWS": 50, "WINDOWS": 100}, {"_digest": lambda words, extra=0: words[:, 0] % np.uint64(2)}])
+def test_parse_and_resolve_in_one_process(monkeypatch, limits):
+    """Small blocks, and hashes that nearly always collide: bytes decide."""
+    for name, value in limits.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    docs = [d for d in repeat_docs() if d[0] is not None][:50]
+    marked = {k: bytearray(len((t or "").encode())) for k, t in docs}
+    packed = []
+    for part in (docs[::2], docs[1::2]):
+        batch = pa.record_batch({"key": [k for k, _ in part], "tkey": [0] * len(part), "text": [t for _, t in part]})
+        packed += substring_dedup._parse(50, 3, False)([batch])
+    rows = pa.Table.from_batches(packed).sort_by("bucket").to_batches()
+    for batch in substring_dedup._resolve(50, False, True)(rows):
+        for whole, key, _, lo, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            assert whole
+            marked[key][lo : lo + n + 49] = b"\1" * (n + 49)
+    got = [(k, len(m), sum(m)) for k, m in marked.items()]
+    assert sorted(got) == [x[:3] for x in sorted(brute_repeats(docs))]
+
+
+def test_corpus_order_is_the_suffix_array():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 99, 9).astype(np.uint8)) for _ in range(60)]
+    rows = np.zeros((60, 16), np.uint8)
+    for k, t in enumerate(texts):
+        rows[k, :9] = list(t)
+    least = rng.integers(0, 1000, 60)
+    phrase, j, first = substring_dedup.corpus_order(rows, np.full(60, 4), least, 6)
+    suffixes = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        for i in range(4):
+            suffixes[t[i : i + 6]].append((k, i))
+    got = [texts[k][i : i + 6] for k, i in zip(phrase, j, strict=True)]
+    assert got == sorted(got) and sorted(zip(phrase, j, strict=True)) == sorted(x for v in suffixes.values() if len(v) > 1 for x in v)
+    assert all(f == min(least[k] for k, _ in suffixes[s]) for s, f in zip(got, first, strict=True))
 
 
 def test_repeated_rows_and_empty_table(spark):
