@@ -100,13 +100,15 @@ def symbols(text: str) -> np.ndarray:
 def labelled_spans(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled texts written by rule: personal data in usual and unusual forms among look-alikes."""
     r = random.Random(seed)
-    syllables = "the re an on er ti es or en of in is ha ou le que ment ver che und ein ción do la".split()
+    words = "house river garden market office travel summer winter paper window maison jardin livre travail haus stadt garten zeit casa tiempo mundo trabajo ana peter maria jones smith info sales support".split()
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    letters = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(k))
+    word = lambda: r.choice(words) if r.random() < 0.5 else letters(r.randint(2, 10))
+    name = lambda: r.choice(words) + r.choice(["", r.choice(words)]) if r.random() < 0.5 else "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 12)))
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
     def email():
-        return f"{word()}{r.choice(['.', '_', '', '+'])}{digits(r.randint(0, 2))}{r.choice([' @ ', '@', ' (at) @'])}{word()}{r.choice(['.', ' . '])}{r.choice(['com', 'net', 'org'])}"
+        return f"{name()}{r.choice(['.', '_', '', '+'])}{digits(r.randint(0, 2))}{r.choice([' @ ', '@', ' (at) @'])}{name()}{r.choice(['.', ' . '])}{r.choice(['com', 'net', 'org'])}"
 
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
@@ -121,10 +123,10 @@ def labelled_spans(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
 
     makers = {"email": email, "phone": phone, "ip": ip, "card": card}
     decoys = [
-        lambda: f'token = "{hexes(40)}"',
+        lambda: f"{word()}-{hexes(8)}-{hexes(4)}-{hexes(4)}",
         lambda: hexes(r.randint(8, 64)),
-        lambda: f"Version {r.randint(1, 9)}.{r.randint(0, 9)}",
-        lambda: f"CC BY-NC {r.randint(1, 4)}.0",
+        lambda: f"{word()} {r.randint(1, 9)}.{r.randint(0, 9)}",
+        lambda: f"{digits(r.randint(1, 3))} {word()} {digits(r.randint(1, 4))}",
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}",
         lambda: f"{r.randint(1, 99999)}",
         lambda: f"{r.randint(1, 999)},{digits(3)}.{digits(2)}",
@@ -147,7 +149,7 @@ def labelled_spans(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
                 made = r.choice(decoys)() if u < 0.5 else word()
                 if r.random() < 0.1:
                     made = made.capitalize()
-            text += made + r.choice([" ", " ", " ", ", ", ". ", "\n", "%%% ", " | ", "; "])
+            text += made + r.choice([" ", " ", " ", ", ", ". ", "\n", "\n\n", " | ", "; "])
         out.append((text, spans))
     return out
 

@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of 20 or more key characters inside a word.  Each gets
-features of its length, character transitions, dictionary coverage, path and
+Candidates are runs of 20 or more key characters inside a word, and shorter ones,
+of 8 or more characters, that are assigned (after ``=`` or ``:``) beside a key word such as
+``password``.  Each gets features of its length, character transitions, dictionary coverage, path and
 neighbouring words; a random forest, trained from labelled findings that a seeded
 rule writes, gives the probability that it is a secret.
 
@@ -26,6 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A value that is assigned in its own word, or that makes up a word (perhaps quoted) after an assignment.
+ASSIGNED = r"""[=:]+["'`]?([^\s"'`=:;,]{8,})"""
+ALONE = r"""^["'`]?([^\s"'`=:;,]{8,})"""
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 KEY_WORDS = r"(token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key|signature)"
 COMMON_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|qu|ei|un|ie|ge|ci|do|la|el|os"
@@ -67,19 +71,20 @@ def features(df: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, word_index, part, before2, before1, word, candidate."""
     text = F.col(f"`{text_col}`")
-    some = docs.filter(text.rlike(CANDIDATE)).select(F.col(f"`{id_col}`").alias("id"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) >= 20) & x["w"].rlike(CANDIDATE))
-    near = F.transform(
-        at,
-        lambda x: F.struct(
-            x["i"].alias("word_index"),
-            F.coalesce(F.get("words", x["i"] - 2), F.lit("")).alias("before2"),
-            F.coalesce(F.get("words", x["i"] - 1), F.lit("")).alias("before1"),
-            x["w"].alias("word"),
-        ),
-    )
-    rows = some.select("id", F.inline(near))
-    return rows.select("id", "word_index", "before2", "before1", "word", F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("part", "candidate"))
+    some = docs.filter(text.rlike(f"{CANDIDATE}|(?i:{KEY_WORDS})")).select(F.col(f"`{id_col}`").alias("id"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"))
+    before = lambda i, k: F.coalesce(F.get("words", i - k), F.lit(""))
+
+    def short(w: Column, i: Column) -> Column:
+        """The word is, or ends in, a shorter value that is assigned beside a key word."""
+        named = F.lower(F.concat_ws(" ", before(i, 2), before(i, 1), w)).rlike(KEY_WORDS)
+        return (F.length(w) >= 8) & (w.rlike(ASSIGNED) | (before(i, 1).rlike(r"[=:]$") & w.rlike(ALONE))) & named
+
+    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: ((F.length(x["w"]) >= 20) & x["w"].rlike(CANDIDATE)) | short(x["w"], x["i"]))
+    near = F.transform(at, lambda x: F.struct(x["i"].alias("word_index"), before(x["i"], 2).alias("before2"), before(x["i"], 1).alias("before1"), x["w"].alias("word")))
+    long = F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)
+    value = F.when(F.col("word").rlike(ASSIGNED), F.regexp_extract("word", ASSIGNED, 1)).otherwise(F.regexp_extract("word", ALONE, 1))
+    found = F.when(F.col("word").rlike(CANDIDATE), long).otherwise(F.array(value))
+    return some.select("id", F.inline(near)).select("id", "word_index", "before2", "before1", "word", F.posexplode(found).alias("part", "candidate"))
 
 
 def labelled_findings(n: int = 1200, seed: int = 5) -> list[dict]:
@@ -87,7 +92,8 @@ def labelled_findings(n: int = 1200, seed: int = 5) -> list[dict]:
     r = random.Random(seed)
     draw = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     base64 = LOWER + UPPER + DIGITS + "+/"
-    pieces = "the re an on er ti es or en of in is ha ou le que ment ver che und ein do la tion ing ble keit heit lich eau eux".split()
+    pieces = "house river garden market office travel summer winter paper window maison jardin livre travail haus stadt garten zeit casa tiempo mundo trabajo under over inter super pre post able ness".split()
+    letters = LOWER + UPPER + DIGITS
     word = lambda lo, hi: "".join(r.choice(pieces) for _ in range(r.randint(lo, hi)))
 
     def long_word(join: str = "") -> str:
@@ -96,7 +102,8 @@ def labelled_findings(n: int = 1200, seed: int = 5) -> list[dict]:
             s += join + word(1, 3)
         return s
 
-    secret = [lambda: draw("0123456789abcdef", r.choice((32, 40, 64))), lambda: draw("0123456789ABCDEF", 40), lambda: draw(base64, r.choice((24, 40, 44, 64))), lambda: "AKIA" + draw(UPPER + DIGITS, 16), lambda: "ghp_" + draw(LOWER + UPPER + DIGITS, 36), lambda: "sk-" + draw(LOWER + UPPER + DIGITS, 32)]
+    secret = [lambda: draw("0123456789abcdef", r.choice((24, 32, 48, 64))), lambda: draw("0123456789ABCDEF", 32), lambda: draw(base64, r.choice((24, 40, 44, 64))), lambda: "AKIA" + draw(UPPER + DIGITS, 16), lambda: "ghp_" + draw(LOWER + UPPER + DIGITS, 36), lambda: "sk-" + draw(LOWER + UPPER + DIGITS, 32)]
+    secret += 3 * [lambda: draw(letters + "!#$%&*.~-", r.randint(8, 19)), lambda: draw(letters, r.randint(10, 19)), lambda: word(1, 1)[:5].capitalize() + draw(DIGITS, r.randint(3, 6)) + draw("!#$%&*", 1)]
     plain = [
         long_word,
         lambda: long_word().capitalize(),
@@ -108,6 +115,10 @@ def labelled_findings(n: int = 1200, seed: int = 5) -> list[dict]:
         lambda: r.choice("-=_/") * r.randint(20, 60),
         lambda: draw(r.choice((LOWER[:2], DIGITS[:2])), 1) * r.randint(20, 40),
         lambda: "get" + "".join(word(1, 2).capitalize() for _ in range(6)),
+        lambda: (word(1, 2) + "required")[: r.randint(8, 19)],
+        lambda: (word(2, 3) + "value").capitalize()[: r.randint(8, 19)],
+        lambda: "<" + word(1, 2)[:12] + "here>",
+        lambda: "*" * r.randint(8, 16),
         lambda: f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{r.randint(10, 23)}-{r.randint(10, 59)}-{word(1, 1)}",
     ]
     keys = ("token", "api_key", "secret", "password", "SECRET_KEY", "auth", "access-key")
@@ -115,12 +126,12 @@ def labelled_findings(n: int = 1200, seed: int = 5) -> list[dict]:
     for _ in range(n):
         label = int(r.random() < 0.5)
         c = r.choice(secret if label else plain)()
-        if len(c) < 20:
-            c += "-" * (20 - len(c))
+        c += "-" * (8 - len(c))
         u, quote = r.random(), r.choice(('"', "'", ""))
-        if u < (0.6 if label else 0.08):
+        short = 0.45 if len(c) < 20 else 0.0  # shorter ones are candidates only beside a key word
+        if u < (0.6 if label else 0.08 + short):
             before2, before1, head = r.choice(keys), r.choice(("=", ":")), quote
-        elif u < (0.85 if label else 0.16):
+        elif u < (0.85 if label and not short else 1.0 if short else 0.16):
             before2, before1, head = word(1, 2), word(1, 2), r.choice(keys) + r.choice(("=", ":")) + quote
         else:
             before2, before1, head = word(1, 2), word(1, 3), r.choice(("", "", "", quote, "https:"))

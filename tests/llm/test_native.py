@@ -1,6 +1,7 @@
 """URL filter, quality rules and secret scan, against brute force and on edge cases."""
 
 import collections
+import json
 import re
 
 import numpy as np
@@ -11,6 +12,7 @@ from quarry.llm import queries, quality, secrets, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DATA = "/root/testdata/sf0.001"
+KIND = "array<struct<before2:string,before1:string,word:string,candidate:string,label:int>>"
 
 
 def brute_counts(text):
@@ -164,18 +166,55 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_candidates(text):
+    words = WORD.findall(text or "")
+    for i, w in enumerate(words):
+        found = re.findall(secrets.CANDIDATE, w)
+        before = words[max(0, i - 2) : i]
+        if not found and len(w) >= 8 and re.search(secrets.KEY_WORDS, " ".join([*before, w]).lower()):
+            one = re.search(secrets.ASSIGNED, w) or (re.search("[=:]$", words[i - 1] if i else "") and re.search(secrets.ALONE, w))
+            found = [one[1]] if one else []
+        yield from ((i, k, c) for k, c in enumerate(found))
+
+
+SHORT = ["password = Xk39!pQz7", 'db_password="hunter2-and-9"', "password: required", "the word password alone", "time: 12345678 9", "token: abc", "PWD=aB3$kk90x;", "x api_key : 'Zx81kQ0pL2vB'", "a=b password"]
+
+
 def test_secret_candidates_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    want = sorted((r["doc_id"], i, k, c) for r in docs.collect() for i, w in enumerate(WORD.findall(r["text"] or "")) for k, c in enumerate(re.findall(secrets.CANDIDATE, w)))
-    got = sorted((r["doc_id"], r["word_index"], r["part"], r["secret"]) for r in queries.op5_secrets(spark, DATA).collect())
-    assert got == want
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = sorted((k, *c) for k, t in docs for c in brute_candidates(t))
+    got = sorted((r["doc_id"], r["word_index"], r["part"], r["secret"]) for r in queries.op5_secrets(spark, "/root/testdata/sf0.01").collect())
+    assert got == want and want
+    short = list(enumerate(SHORT))
+    got = secrets.scan(spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["word_index"], r["part"], r["secret"]) for r in got) == sorted((k, *c) for k, t in short for c in brute_candidates(t))
+    assert {r["id"] for r in got if r["is_secret"]} >= {0, 6, 7} and not any(r["is_secret"] for r in got if r["id"] in (2, 4))
 
 
-def test_forest_on_held_out_findings(spark):
-    import json
+def test_forest_probability_equals_its_trees(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scored = secrets.features(secrets.candidates(rows)).withColumn("p", F.expr(secrets._fitted(spark, 1200, 5))).limit(200).collect()
+    got = secrets.features(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(secrets.labelled_findings(1200, 5))), KIND)))).select("label", *secrets.FEATURES).collect()
+    forest = secrets.Forest(np.array([[r[f] for f in secrets.FEATURES] for r in got], float), np.array([r["label"] for r in got], float))
+
+    def leaf(tree, row):
+        while not isinstance(tree, float):
+            tree = tree[2] if row[secrets.FEATURES[tree[0]]] <= tree[1] else tree[3]
+        return tree
 
+    assert scored and all(r["p"] == pytest.approx(sum(leaf(t, r) for t in forest.trees) / len(forest.trees)) for r in scored)
+
+
+def test_planted_keys_of_documents_are_found(spark):
+    """None of the generated findings has the form of the keys in ``documents``."""
+    got = queries.op5_secrets(spark, "/root/testdata/sf0.01").toPandas()
+    hexes = got.secret.str.fullmatch("[0-9a-f]{40}")
+    print("40-digit keys marked", got[hexes].is_secret.mean(), "other candidates marked", got[~hexes].is_secret.mean())
+    assert got[hexes].is_secret.mean() > 0.95 and got[~hexes].is_secret.mean() < 0.05
+
+
+def test_forest_on_held_out_findings(spark):
     rows = secrets.labelled_findings(400, seed=77)
-    kind = "array<struct<before2:string,before1:string,word:string,candidate:string,label:int>>"
-    df = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+    df = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), KIND)))
     scored = secrets.features(df).withColumn("p", F.expr(secrets._fitted(spark, 1200, 5)))
     assert scored.select(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] > 0.95

@@ -140,6 +140,18 @@ def test_tagger_on_held_out_spans():
     assert (found == tags).mean() > 0.97 and (found == tags)[tags > 0].mean() > 0.9
 
 
+def test_tagger_finds_the_base_spans_of_documents(spark):
+    """The tagger alone, on texts that its generator did not write."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null and length(text) < 20000").limit(3000).collect()]
+    own, hit, base = pii.added_spans(pii.fit(), texts, [[] for _ in texts]), {}, {}
+    for text, found in zip(texts, own, strict=True):
+        for a, b, kind in pii.base_spans(text):
+            base[kind] = base.get(kind, 0) + 1
+            hit[kind] = hit.get(kind, 0) + any(x[0] < b and a < x[1] and x[2] == kind for x in found)
+    print("found by the tagger alone", hit, "of", base)
+    assert all(hit[k] > 0.9 * n for k, n in base.items()) and sum(base.values()) > 100
+
+
 def test_gradients_of_the_tagger():
     from quarry.llm._bilstm import Tagger
 
