@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import _shingles
 from ._grams import groups, raw
+from ._memory import trimmed
 from ._runs import runs
 from ._triggers import mix
 from ._unions import roots
@@ -109,7 +110,7 @@ def tree(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return child, near[child]
 
 
-def common(ids: np.ndarray, start: np.ndarray, able: np.ndarray, left: np.ndarray, right: np.ndarray, room: int = 32 << 20) -> np.ndarray:
+def common(ids: np.ndarray, start: np.ndarray, able: np.ndarray, left: np.ndarray, right: np.ndarray, room: int = 16 << 20) -> np.ndarray:
     """How many elements the able pairs of left and right members share (member k holds ``ids[start[k]:start[k + 1]]``).
 
     Members are bit sets over a stretch of the elements at a time, so that they take at most ``room`` bytes.
@@ -128,9 +129,8 @@ def common(ids: np.ndarray, start: np.ndarray, able: np.ndarray, left: np.ndarra
     edges = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1], [True]])) if len(stretch) else np.zeros(1, int)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         at = bit[lo:hi] - stretch[lo] * width
-        sets = np.zeros((n, (int(at.max()) // 64 + 1) * 64), np.uint8)
-        sets[owner[lo:hi], at] = 1
-        sets = np.packbits(sets, axis=1).view(np.uint64)
+        sets = np.zeros((n, int(at.max()) // 64 + 1), np.uint64)
+        np.add.at(sets, (owner[lo:hi], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))  # a member holds an element once
         for i in busy:
             to = np.flatnonzero(able[i])
             shared[i, to] += np.bitwise_count(sets[left[i]] & sets[right[to]]).sum(1, dtype=np.int32)
@@ -256,13 +256,13 @@ def _between(n: int, bands: int, threshold: float):
 
 
 def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 2048, block_bytes: int = 16 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 2048, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """One row per document: id, fold (digest of the text), class_id and kept."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("fold"), text.alias("text"))
     worded = src.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    signed = materialize(worded.mapInArrow(_signatures(words, bands, rows), "id long, fold binary, bytes long, keys array<long>"), "signatures")
+    signed = materialize(worded.mapInArrow(trimmed(_signatures(words, bands, rows)), "id long, fold binary, bytes long, keys array<long>"), "signatures")
     reps = signed.groupBy("fold").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))  # equal texts have equal keys
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "folds")
 
@@ -277,7 +277,7 @@ def classes(
     wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "fold", "keys")
     texts = materialize(src.join(wanted, ["id", "fold"]).select("rep", "keys", "text").dropDuplicates(["rep"]), "texts")
     met = members.join(texts, "rep").repartition("bucket", "own").sortWithinPartitions("bucket", "own", "rep")
-    labels = components(met.mapInArrow(_inside(words, bands, threshold), "u long, v long"))
+    labels = components(met.mapInArrow(trimmed(_inside(words, bands, threshold)), "u long, v long"))
     named = reps.select("fold", "rep", "id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
 
@@ -288,7 +288,7 @@ def classes(
         sides = now.join(split.select("bucket"), "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("own <> other")
         sides = sides.select("bucket", "t", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("first"))
         met = sides.join(texts, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        late = components(met.mapInArrow(_between(words, bands, threshold), "u long, v long"))  # between components
+        late = components(met.mapInArrow(trimmed(_between(words, bands, threshold)), "u long, v long"))  # between components
         late = late.select(F.col("node").alias("component"), F.col("component").alias("final"))
         named = named.join(late, "component", "left").withColumn("component", F.coalesce("final", "component"))
 

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _grams, langid
+from ._memory import trimmed
 from .common import materialize
 
 _SPACE = np.zeros(256, bool)
@@ -135,7 +136,7 @@ def mix(
                 extra = [pa.array([_tokens(r) for r in raws], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * k, pa.int32()), pa.array(p.ravel()))]
                 yield pa.RecordBatch.from_arrays(cols + extra, names=[*batch.schema.names, "n_tokens", "posteriors"])
 
-    held = materialize(src.mapInArrow(run, out_schema), "posteriors")
+    held = materialize(src.mapInArrow(trimmed(run), out_schema), "posteriors")
     light = held.select("n_tokens", "posteriors")
 
     def sums(body, width: int) -> np.ndarray:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bilstm import Tagger
+from ._memory import trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 64, 32
@@ -292,7 +293,7 @@ def find(docs: DataFrame, text_col: str = "text", model: Tagger | None = None, r
 
     kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([*src.schema.fields, T.StructField("spans", T.ArrayType(kind))])
-    return src.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "spans")
+    return src.mapInArrow(trimmed(run), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "spans")
 
 
 def redacted(text: str, spans) -> str:

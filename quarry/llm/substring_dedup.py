@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 
 from . import _blobs, _triggers
 from ._grams import groups
+from ._memory import trimmed
 from .common import materialize
 
 TRIGGER = 16
@@ -424,8 +425,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = base.withColumn("key", F.coalesce(ident, F.lit(LAST)))
     keyed = keyed.withColumn("tkey", F.xxhash64("text") if wide else F.lit(0).cast("long"))
 
-    parsed = keyed.select("key", "tkey", "text").mapInArrow(_parse(min_len, buckets, wide), _PACKED)
-    found = materialize(_dealt(parsed, buckets, parts).mapInArrow(_resolve(min_len, wide, buckets > parts), _FOUND), "repeats")
+    parsed = keyed.select("key", "tkey", "text").mapInArrow(trimmed(_parse(min_len, buckets, wide)), _PACKED)
+    found = materialize(_dealt(parsed, buckets, parts).mapInArrow(trimmed(_resolve(min_len, wide, buckets > parts)), _FOUND), "repeats")
 
     on = ["key", "tkey"] if wide else ["key"]
     if not wide:
