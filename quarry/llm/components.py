@@ -3,8 +3,7 @@
 Each step is a combinable minimum for a node and a join back; rounds needed grow
 with the logarithm of the component size.  Edges and labels never leave the
 cluster, each round is written to the shared folder (so lineage stays short and
-executors may be lost), and a hub with very many edges meets only a sort-merge
-join, whose large partitions adaptive execution splits.
+executors may be lost), and the edges of hubs are dealt out evenly.
 """
 
 from __future__ import annotations
@@ -15,16 +14,29 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """Rows (u, v) with u's least neighbour m.
+
+    Nodes with more than a thousandth of the edges, of which there are at most
+    2000, are met by broadcast, and their rows are then dealt out evenly.
+    """
+    hubs = least.filter(F.col("k") > max(1000, edges // 1000)).select("u", F.col("m").alias("hub"))
+    rows = rows.join(F.broadcast(hubs), "u", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(1 << 16))))
+    met = rows.join(least.select("u", F.lit(0).cast("long").alias("salt"), "m"), ["u", "salt"], "left")
+    return met.select("u", "v", F.coalesce("hub", "m").alias("m"))
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).withColumn("m", F.least("u", "m"))
+    return _with_least(both.filter("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(down: DataFrame) -> DataFrame:
+def _small(down: DataFrame, n: int) -> DataFrame:
     """``down``: edges from a node u to a smaller one v, repeats allowed."""
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    moved = _with_least(down, least, n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -47,7 +59,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not last["n"]:
             break
-        new, this = _step(_small(_large(now)))
+        new, this = _step(_small(_large(now, last["n"]), last["n"]))
         discard(now)
         now = new
         if this == last:  # only stars around each component's smallest node are left

@@ -34,6 +34,7 @@ class Union:
 def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)] + [(7, 7)]
+    pairs += [(2500, i) for i in range(1000, 3600)] + [(450, 1700), (3600, 3601)]  # a hub
     u = Union()
     for a, b in pairs:
         if a != b:
