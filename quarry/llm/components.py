@@ -22,9 +22,10 @@ def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     """
     hubs = least.filter(F.col("k") > max(1000, edges // 1000)).select("u", F.col("m").alias("hub"))
     rows = rows.join(F.broadcast(hubs), "u", "left")
-    rows = rows.withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(1 << 16))))
-    met = rows.join(least.select("u", F.lit(0).cast("long").alias("salt"), "m"), ["u", "salt"], "left")
-    return met.select("u", "v", F.coalesce("hub", "m").alias("m"))
+    spread = -1 - F.pmod(F.xxhash64("v"), F.lit(1 << 16))  # no node has such a number
+    rows = rows.withColumn("at", F.when(F.col("hub").isNull(), F.col("u")).otherwise(spread))
+    met = rows.join(least.withColumnRenamed("u", "at"), "at", "left")
+    return met.select("u", "v", F.coalesce("hub", F.when(F.col("k") > 0, F.col("m"))).alias("m"))  # k is read, so that both joins share one exchange
 
 
 def _large(edges: DataFrame, n: int) -> DataFrame:
@@ -49,7 +50,7 @@ def _step(edges: DataFrame) -> tuple[DataFrame, dict]:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``edges`` (u, v) of longs, any direction, repeats and loops allowed; gives (node, component).
+    """``edges`` (u, v) of longs from 0, any direction, repeats and loops allowed; gives (node, component).
 
     The component is the smallest node that can be reached.  Nodes without an
     edge to another node are not listed.
