@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import ratio_or_zero
-from quarry.operators import explore, models, recommend
+from quarry.operators import explore, models, neural, recommend
 from quarry.plans.registry import query
 from quarry.plans.roles import TEST_SQL, TODAY, TRAIN_SQL, ratings
 from quarry.sources.readers import table
@@ -121,6 +121,21 @@ def gbt_predict(spark, d):
     return models.predict(model, asked, FEATURES, 1.0, 50.0).select("user_id", "item_id", "prediction")
 
 
+@query("random_search")
+def random_search(spark, d):
+    """Three random points of the grid, each judged on a fifth that is held out."""
+    known, _ = _model(spark, d)
+    _, scores = models.search(known, FEATURES, {"maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.3]}, folds=1, tries=3)
+    return spark.createDataFrame([(int(s["maxDepth"]), float(s["stepSize"]), float(s["rmse"])) for s in scores], "max_depth int, step_size double, rmse double")
+
+
+@query("mlp_predict")
+def mlp_predict(spark, d):
+    """The feed-forward network with 25 epochs of Adam."""
+    known, asked = _model(spark, d)
+    return neural.predict(neural.fit(known, FEATURES), asked, FEATURES).select("user_id", "item_id", "prediction")
+
+
 @query("rfe_select")
 def rfe_select(spark, d):
     known, asked = _model(spark, d)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("relational", "mining", "recommenders", "graphs", "streams")
+_MODULES = ("relational", "mining", "recommenders", "graphs", "files", "streams")
 
 
 def query(name: str, sql: str | None = None):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import encode, explore, itemsets
+from quarry.operators import encode, explore, features, itemsets
 from quarry.plans.registry import query
 from quarry.plans.roles import BUSINESS_SQL, REVIEWS_SQL, TODAY, business, reviews
 from quarry.sources.readers import table
@@ -201,19 +201,28 @@ def attr_json_features(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(k.try_cast("long"), F.lit(0)).alias("k"), k.isNotNull().cast("int").alias("has_k"), missing.isNotNull().cast("int").alias("has_missing"))
 
 
-@query("tip_user_likes", "select user_id, round(sum(value), 6) as total, round(avg(value), 6) as mean, round(max(value), 6) as most from events group by 1")
+def _tips(spark, d):
+    e = table(spark, d, "events")
+    return features.tip_features(e.select("user_id", F.col("event_type").alias("business_id"), F.col("value").alias("likes")))
+
+
+def _rounded(df, keys, tag):
+    return df.select(*keys, *[F.round(f"{tag}_{name}", 6).alias(name) for name in ("likes", "mean_likes", "max_likes")])
+
+
+@query("tip_user_likes", "select user_id, round(sum(value), 6) as likes, round(avg(value), 6) as mean_likes, round(max(value), 6) as max_likes from events group by 1")
 def tip_user_likes(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    return _rounded(_tips(spark, d)[0], ["user_id"], "user")
 
 
-@query("tip_business_likes", "select l_suppkey, sum(l_linenumber)::bigint as total, max(l_linenumber) as most, avg(l_linenumber) as mean from lineitem group by 1")
+@query("tip_business_likes", "select event_type as business_id, round(sum(value), 4) as likes, round(avg(value), 6) as mean_likes, round(max(value), 6) as max_likes from events group by 1")
 def tip_business_likes(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_linenumber").alias("total"), F.max("l_linenumber").alias("most"), F.avg("l_linenumber").alias("mean"))
+    return _rounded(_tips(spark, d)[1], ["business_id"], "business").withColumn("likes", F.round("likes", 4))
 
 
-@query("tip_pair_likes", "select user_id, event_type, round(avg(value), 6) as mean, count(*)::bigint as n from events group by 1, 2")
+@query("tip_pair_likes", "select user_id, event_type as business_id, round(sum(value), 6) as likes, round(avg(value), 6) as mean_likes, round(max(value), 6) as max_likes from events group by 1, 2")
 def tip_pair_likes(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+    return _rounded(_tips(spark, d)[2], ["user_id", "business_id"], "pair")
 
 
 @query(

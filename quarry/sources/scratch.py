@@ -21,10 +21,19 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     return out
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables that :func:`cut` wrote, once nothing that is still to run reads them."""
     for t in tables:
         if path := getattr(t, "_scratch_path", None):
-            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            fs, at = _at(t.sparkSession, path)
+            fs.delete(at, True)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.sources import scratch
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -24,8 +27,22 @@ def distinct_estimates(stream: DataFrame, time: str, value: str, size: str = "1
     return counts.select(F.col("window.start").alias("start"), "estimate")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run what there is to the end and return the in-memory result table (for tests and small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run what there is to the end; the result table stands in ``folder``, which executors share.
+
+    Append: the rows of all micro-batches.  Complete: the last one's, which holds
+    the whole result.  A micro-batch that is run again overwrites its own files.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not scratch.exists(spark, f"{folder}/rows"):  # no micro-batch had anything
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

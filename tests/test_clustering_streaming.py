@@ -47,9 +47,9 @@ def _folder(tmp_path, batches):
 def test_stateful_sketches(spark, tmp_path):
     path = _folder(tmp_path, [[f"u{i}" for i in range(50)], [f"u{i}" for i in range(25, 75)]])
     stream = readers.text_stream(spark, path)
-    out = windows.run_available(sketches.bloom_stream(stream, "value", 9_973, 100), "bloom_out", str(tmp_path / "c1")).toPandas()
+    out = windows.run_available(sketches.bloom_stream(stream, "value", 9_973, 100), str(tmp_path / "c1")).toPandas()
     assert len(out) == 100 and out.seen.sum() >= 25
-    out = windows.run_available(sketches.reservoir_stream(readers.text_stream(spark, path), "value", 10, 50, (0, 5)), "res_out", str(tmp_path / "c2")).toPandas()
+    out = windows.run_available(sketches.reservoir_stream(readers.text_stream(spark, path), "value", 10, 50, (0, 5)), str(tmp_path / "c2")).toPandas()
     assert sorted(out.seqnum.unique()) == [50, 100] and len(out) == 4
     got = sketches.micro_batches(readers.text_stream(spark, path), "value", str(tmp_path / "c3"))
     assert [r["n_distinct"] for r in sorted(got, key=lambda r: r["batch"])] == [50, 50]
@@ -71,3 +71,12 @@ def test_readers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).first()["n_review"] == 3
     writers.write_csv(lines, str(tmp_path / "o2"))
     assert spark.read.csv(str(tmp_path / "o2"), header=True).count() == 3
+
+
+def test_streams_run_again_give_the_same_table(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.txt").write_text("a\nb\n" * (k + 1))
+    counts = sketches.counts_stream(readers.text_stream(spark, str(tmp_path / "in")), "value")
+    for _ in range(2):
+        assert {r["value"]: r["n"] for r in windows.run_available(counts, str(tmp_path / "c3"), "complete").collect()} == {"a": 6, "b": 6}

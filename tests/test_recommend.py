@@ -137,3 +137,34 @@ def test_registered_hybrid_mixes_filtering_and_trees(spark):
     assert got.keys() == cf.keys() == model.keys() and len(got) > 0
     for key, p in got.items():
         assert p == pytest.approx(0.01 * cf[key] + 0.99 * model[key], abs=1e-4)
+
+
+def test_network_gradient_and_learning(spark):
+    import numpy as np
+
+    from quarry.operators import neural
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2)) * [10, 3]
+    y = np.sin(x[:, 0]) + x[:, 1] ** 2
+    rows = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)] + [(1.0, 2.0, None), (None, 1.0, 1.0)], "a double, b double, stars double")
+    net = neural.fit(rows, ["a", "b"], epochs=2)
+    flat, _ = net.gradient(x, y)
+    for at in rng.integers(0, len(flat), 12):
+        e = np.zeros(len(flat))
+        e[at] = 1e-5
+        up, down = net.moved(e).gradient(x, y)[1], net.moved(-e).gradient(x, y)[1]
+        assert abs((up - down) / 2e-5 - flat[at]) <= 1e-3 * max(1.0, abs(flat[at]))
+    rmse = lambda n: float(np.sqrt(np.mean((n.forward(x)[-1][:, 0] - y) ** 2)))
+    assert rmse(neural.fit(rows, ["a", "b"], epochs=40)) < 0.6 * float(y.std())
+    out = neural.predict(net, rows.withColumn("prediction", rows["a"]), ["a", "b"])
+    assert out.columns == ["a", "b", "stars", "prediction"] and out.count() == 402
+    assert neural.predict(net, rows.limit(0), ["a", "b"]).count() == 0
+
+
+def test_random_search_tries_points_of_the_grid(spark):
+    from quarry.operators import models
+
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 7)) for i in range(80)], "a double, b double, stars double")
+    _, scores = models.search(rows, ["a", "b"], {"maxDepth": [1, 2, 3], "maxIter": [1, 2]}, folds=1, tries=3)
+    assert len({(s["maxDepth"], s["maxIter"]) for s in scores}) == 3
