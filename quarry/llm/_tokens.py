@@ -16,7 +16,8 @@ import re
 
 import numpy as np
 
-_OTHER = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]|<\|")
+#: Plain characters, as Latin-1 bytes: printable ASCII, white space, and letters with accents.
+_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 #: The normaliser and splitter that words are cached for; fixed values of the file format.
 _RULES = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -26,6 +27,13 @@ _RULES = (
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-zß-öø-ÿ]+")
 
 
+def _plain(text: str) -> bool:
+    try:
+        return "<|" not in text and not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class _Slots(dict):
     """Word to slot; an unknown word takes the next slot and is noted as new."""
 
@@ -90,7 +98,7 @@ class Tokeniser:
         if len(self.slot) > self.cap:
             self._clear()
         for i, t in enumerate(texts):
-            if not self.by_word or _OTHER.search(t):
+            if not self.by_word or not _plain(t):
                 chunks[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
             else:
                 plain.append(i)
