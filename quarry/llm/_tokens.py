@@ -56,7 +56,7 @@ def tokeniser(path: str) -> Tokeniser:
 class Tokeniser:
     """``encode(texts)`` gives the ids of all texts end to end, and each text's count."""
 
-    def __init__(self, path: str, cap: int = 200_000):
+    def __init__(self, path: str, cap: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
