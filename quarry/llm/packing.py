@@ -38,6 +38,7 @@ from .common import materialize
 
 CAPACITY = 4096
 AT_ONCE = 1 << 20
+RUN = 256
 
 
 def _tokenise(path: str, capacity: int, end_id: int, keep_ids: bool):
@@ -245,10 +246,12 @@ def pack(
         pieces = pieces.drop("ids")
     counts = materialize(pieces.groupBy("pid", "length").agg(F.count("*").alias("n")), "lengths")
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("pid", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    offsets = counts.select("pid", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     ranges, _ = plan(histogram, capacity, classes)
-    ranked = pieces.join(offsets.hint("shuffle_hash"), ["pid", "length"])  # grows with the input, so it is not broadcast
+    of = lambda n: F.floor(n / RUN)  # noqa: E731  runs of ranks, so that no frequent length meets in one task
+    offsets = offsets.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), of(F.col("n") - 1))))
+    ranked = pieces.withColumn("run", of(F.col("rank"))).join(offsets.hint("shuffle_hash"), ["pid", "length", "run"])  # grows with the input, so it is not broadcast
     kept = ["id", "piece", "start", "length", "crc", *(["ids"] if keep_ids else [])]
     ranked = ranked.select(*kept, (F.col("rank") + F.col("base")).alias("rank"))
     out = "id long, piece int, start long, length long, crc long, " + ("ids array<int>, " if keep_ids else "") + "sequence_id long, offset long"

@@ -260,6 +260,15 @@ def test_packing_round_trip(spark):
     assert got.sequence_id.nunique() <= got.length.sum() / 4096 + 1
 
 
+def test_frequent_lengths_are_dealt_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 3)
+    docs = spark.createDataFrame([(i, "the cat" if i % 5 else "the cat " * 5000) for i in range(60)], "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, queries.tokenizer_path(), keep_ids=False).toPandas()
+    assert got.id.nunique() == 60 and got.groupby("id").length.sum().isin([3, 10001]).all()
+    check_packing(got, None, 4096)
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 4096)
+
+
 def test_packing_edges(spark):
     docs = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, "the cat " * 6000), (None, "x")]
     got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), queries.tokenizer_path(), keep_ids=False).toPandas()
