@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _buckets
 from ._runs import runs
 from ._triggers import mix
 from ._unions import roots
@@ -68,7 +69,7 @@ class Keys:
         a, b = self.planes[dim]
         cell = np.floor((x @ a + b) / self.width).astype(np.int64).view(np.uint64).reshape(n, self.tables, self.hashes)
         key = (cell * self.factors).sum(2) + np.arange(1, self.tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return mix(mix(key) + label.view(np.uint64)[:, None] + np.uint64(dim)).view(np.int64)
+        return _buckets.tagged(mix(mix(key) + label.view(np.uint64)[:, None] + np.uint64(dim)).view(np.int64))
 
 
 def _by_dimension(vectors):
@@ -89,8 +90,7 @@ def _hash(keys: Keys):
                 for part in np.array_split(rows, -(-len(rows) // 2048)):
                     out[part] = keys.of(unit(part), label[part])
             array = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * keys.tables, pa.int32()), pa.array(out.ravel()))
-            size = np.diff(batch.column("vector").offsets.to_numpy()).astype(np.int64) * 8
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(size), array], names=["rep", "bytes", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), array], names=["rep", "keys"])
 
     return run
 
@@ -133,11 +133,11 @@ def _compare(keys: Keys, threshold: float, stripe: int = 512):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "n", "root"])
 
-        for batch in runs(batches, ("b", "lo", "hi")):
+        for batch in runs(batches, ("bucket", "lo", "hi")):
             first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
             rep, copies, label = (batch.column(c).to_numpy() for c in ("rep", "copies", "label_hash"))
             for rows, unit in _by_dimension(batch.column("vector")):
-                n, root = block(batch.column("t")[0].as_py(), first[rows], label[rows], copies[rows], unit(rows))
+                n, root = block(batch.column("bucket")[0].as_py() % _buckets.TABLES, first[rows], label[rows], copies[rows], unit(rows))
                 at = np.flatnonzero(n)
                 out.append((rep[rows][at], n[at], rep[rows][root[at]]))
                 held += len(at)
@@ -179,17 +179,15 @@ def link(
     copies = rows.filter("able").groupBy(*on).agg(F.min(own_id).alias("id"), F.first("label_hash").alias("label_hash"), F.count("*").alias("copies"))
     held = materialize(copies.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     keys = Keys(tables, hashes, width, seed)
-    units = materialize(held.select("rep", "label_hash", "vector").mapInArrow(_hash(keys), "rep long, bytes long, keys array<long>"), "units")
-
-    light = units.select("rep", "bytes", F.posexplode("keys").alias("t", "b"))
-    whose = (F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size"), F.sum("rep").alias("sum"), F.bit_xor(F.xxhash64("rep")).alias("xor"))
-    shared = light.groupBy("b").agg(*whose, F.sum("bytes").alias("total"), F.min("t").alias("band")).filter("least < most")
-    alone = shared.groupBy("least", "most", "size", "sum", "xor").agg(F.min_by(F.struct("b", "total"), "band").alias("s"))  # the same members once
-    alone = alone.select("s.b", F.ceil(F.col("s.total") / block_bytes).cast("int").alias("parts"))
-    members = light.drop("bytes").join(alone, "b").withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    units = materialize(held.select("rep", "label_hash", "vector").mapInArrow(_hash(keys), "rep long, keys array<long>"), "units")
+
+    widest = held.agg(F.max(F.size("vector"))).first()[0] or 1
+    found = _buckets.members(units.select("rep", F.explode("keys").alias("bucket")))
+    members = found.withColumn("parts", F.ceil(F.col("size") * (8 * widest) / block_bytes).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("rep", "t", "b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
-    met = dealt.join(held.select("rep", "copies", "label_hash", "vector"), "rep").repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
+    dealt = dealt.select("rep", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
+    met = dealt.join(held.select("rep", "copies", "label_hash", "vector"), "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     found = materialize(met.mapInArrow(_compare(keys, threshold), "rep long, n long, root long"), "links")
 
     discard(units)

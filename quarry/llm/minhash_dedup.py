@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _shingles
+from . import _buckets, _shingles
 from ._grams import groups, raw
 from ._memory import trimmed
 from ._runs import runs
@@ -71,7 +71,7 @@ def bucket_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit bucket key for each band of registers."""
     factors = np.random.default_rng(5).integers(1, 2**63, size=rows, dtype=np.uint64) | np.uint64(1)
     mixed = (mix(sig.copy()).reshape(len(sig), bands, rows) * factors).sum(2)
-    return mix(mixed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return _buckets.tagged(mix(mixed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
 
 
 def _signatures(n: int, bands: int, rows: int):
@@ -224,7 +224,7 @@ def _inside(n: int, bands: int, threshold: float):
             contents, at = _contents(texts, n), 0
             for batch in held:
                 if len(batch) > 1:
-                    yield block(batch.column("rep").to_numpy(), batch.column("t")[0].as_py(), _keys(batch.column("keys"), bands), contents[at : at + len(batch)])
+                    yield block(batch.column("rep").to_numpy(), batch.column("bucket")[0].as_py() % _buckets.TABLES, _keys(batch.column("keys"), bands), contents[at : at + len(batch)])
                 at += len(batch)
 
     return lambda batches: _edges(found(batches))
@@ -249,7 +249,7 @@ def _between(n: int, bands: int, threshold: float):
             contents, at = _contents(texts, n), 0
             for batch in held:
                 first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
-                yield block(batch.column("component").to_numpy(), first, batch.column("t")[0].as_py(), _keys(batch.column("keys"), bands), contents[at : at + len(batch)])
+                yield block(batch.column("component").to_numpy(), first, batch.column("bucket")[0].as_py() % _buckets.TABLES, _keys(batch.column("keys"), bands), contents[at : at + len(batch)])
                 at += len(batch)
 
     return lambda batches: _edges(found(batches))
@@ -266,13 +266,11 @@ def classes(
     reps = signed.groupBy("fold").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))  # equal texts have equal keys
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "folds")
 
-    light = reps.select("rep", "bytes", F.posexplode("keys").alias("t", "bucket"))
-    whose = (F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size"), F.sum("rep").alias("sum"), F.bit_xor(F.xxhash64("rep")).alias("xor"))
-    shared = light.groupBy("bucket").agg(*whose, F.sum("bytes").alias("total"), F.min("t").alias("band")).filter("least < most")
-    alone = shared.groupBy("least", "most", "size", "sum", "xor").agg(F.min_by(F.struct("bucket", "total"), "band").alias("b"))  # the same members once
-    parts = F.ceil(F.greatest(F.col("size") / block, F.col("total") / block_bytes)).cast("int")
-    members = light.drop("bytes").join(alone.select("b.*", "size").withColumn("parts", parts).drop("total", "size"), "bucket")
-    members = materialize(members.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int")), "buckets")
+    light = reps.select("rep", F.explode("keys").alias("bucket"))
+    held = _buckets.members(light).join(reps.select("rep", "bytes"), "rep")
+    parts = held.groupBy("bucket").agg(F.ceil(F.greatest(F.first("size") / block, F.sum("bytes") / block_bytes)).cast("int").alias("parts"))
+    members = held.select("bucket", "rep").join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    members = materialize(members, "members")
 
     wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "fold", "keys")
     texts = materialize(src.join(wanted, ["id", "fold"]).select("rep", "keys", "text").dropDuplicates(["rep"]), "texts")
@@ -286,7 +284,7 @@ def classes(
         now = wide.join(named.select("rep", "component"), "rep")
         split = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
         sides = now.join(split.select("bucket"), "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("own <> other")
-        sides = sides.select("bucket", "t", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("first"))
+        sides = sides.select("bucket", "rep", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("first"))
         met = sides.join(texts, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
         late = components(met.mapInArrow(trimmed(_between(words, bands, threshold)), "u long, v long"))  # between components
         late = late.select(F.col("node").alias("component"), F.col("component").alias("final"))
