@@ -31,4 +31,6 @@ def members(light: DataFrame) -> DataFrame:
     whose = (F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum("rep").alias("sum"), F.bit_xor(F.xxhash64("rep")).alias("xor"))
     each = found.groupBy("bucket").agg(F.count("*").alias("size"), *whose)
     first = each.groupBy("size", "least", "most", "sum", "xor").agg(F.min_by("bucket", F.col("bucket").bitwiseAND(F.lit(TABLES - 1))).alias("bucket"))
-    return found.join(first.select("bucket", "size"), "bucket")
+    out = found.join(first.select("bucket", "size"), "bucket")
+    out._scratch_path = found._scratch_path  # for ``discard`` when the members are used up
+    return out

@@ -182,15 +182,15 @@ def link(
     units = materialize(held.select("rep", "label_hash", "vector").mapInArrow(_hash(keys), "rep long, keys array<long>"), "units")
 
     widest = held.agg(F.max(F.size("vector"))).first()[0] or 1
-    found = _buckets.members(units.select("rep", F.explode("keys").alias("bucket")))
-    members = found.withColumn("parts", F.ceil(F.col("size") * (8 * widest) / block_bytes).cast("int"))
+    found_buckets = _buckets.members(units.select("rep", F.explode("keys").alias("bucket")))
+    members = found_buckets.withColumn("parts", F.ceil(F.col("size") * (8 * widest) / block_bytes).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("rep", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
     met = dealt.join(held.select("rep", "copies", "label_hash", "vector"), "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     found = materialize(met.mapInArrow(_compare(keys, threshold), "rep long, n long, root long"), "links")
 
-    discard(units)
+    discard(units, found_buckets)
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     folds = held.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -267,10 +267,12 @@ def classes(
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "folds")
 
     light = reps.select("rep", F.explode("keys").alias("bucket"))
-    held = _buckets.members(light).join(reps.select("rep", "bytes"), "rep")
+    shared = _buckets.members(light)
+    held = shared.join(reps.select("rep", "bytes"), "rep")
     parts = held.groupBy("bucket").agg(F.ceil(F.greatest(F.first("size") / block, F.sum("bytes") / block_bytes)).cast("int").alias("parts"))
     members = held.select("bucket", "rep").join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     members = materialize(members, "members")
+    discard(shared)
 
     wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "fold", "keys")
     texts = materialize(src.join(wanted, ["id", "fold"]).select("rep", "keys", "text").dropDuplicates(["rep"]), "texts")
