@@ -4,9 +4,23 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 
 import pyarrow as pa
 
+#: What clears the caches that live as long as a worker, by name.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached(name: str, clear: Callable[[], None]) -> None:
+    """Make a worker-wide cache known, so that tasks without use for it free it."""
+    _caches[name] = clear
+
+
+def _free(uses: str | None) -> None:
+    for name, clear in _caches.items():
+        if name != uses:
+            clear()
 
 def _trim() -> None:
     """Hand freed memory back to the system (where the C library can)."""
@@ -18,10 +32,14 @@ def _trim() -> None:
         pass
 
 
-def trimmed(run):
-    """A task function that leaves no freed memory behind, as the worker stays beside the JVM in the executor's memory."""
+def trimmed(run, uses: str | None = None):
+    """A task function that starts without caches but the one it uses, and leaves no freed memory behind.
+
+    A worker stays beside the JVM in the executor's memory.
+    """
 
     def wrapped(batches):
+        _free(uses)
         yield from run(batches)
         _trim()
 

@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from . import _memory
+
 #: Plain characters, as Latin-1 bytes: printable ASCII, white space, and letters with accents.
 _PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 #: The normaliser and splitter that words are cached for; fixed values of the file format.
@@ -53,6 +55,9 @@ def tokeniser(path: str) -> Tokeniser:
     return Tokeniser(path)
 
 
+_memory.cached("tokens", tokeniser.cache_clear)
+
+
 class Tokeniser:
     """``encode(texts)`` gives the ids of all texts end to end, and each text's count."""
 

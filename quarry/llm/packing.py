@@ -241,7 +241,7 @@ def pack(
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = "pid int, id long, piece int, start long, length long, crc long, rank long, ids array<int>"
-    pieces = materialize(src.mapInArrow(trimmed(_tokenise(tokenizer, capacity, end_id, keep_ids)), schema), "pieces")
+    pieces = materialize(src.mapInArrow(trimmed(_tokenise(tokenizer, capacity, end_id, keep_ids), uses="tokens"), schema), "pieces")
     if not keep_ids:
         pieces = pieces.drop("ids")
     counts = materialize(pieces.groupBy("pid", "length").agg(F.count("*").alias("n")), "lengths")
