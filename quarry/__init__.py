@@ -1,4 +1,4 @@
-"""quarry: a Spark-native analytics and data-mining engine.
+"""quarry: a Spark-native analytics engine.
 
 Every operator takes and returns DataFrames, so Catalyst sees one declarative
 plan per query.  Sub-packages:
