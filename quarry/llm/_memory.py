@@ -33,7 +33,7 @@ def _trim() -> None:
 
 
 def trimmed(run, uses: str | None = None):
-    """A task function that starts without caches but the one it uses, and leaves no freed memory behind.
+    """A task function that starts and ends without caches but the one it uses, and leaves no freed memory behind.
 
     A worker stays beside the JVM in the executor's memory.
     """
@@ -41,6 +41,7 @@ def trimmed(run, uses: str | None = None):
     def wrapped(batches):
         _free(uses)
         yield from run(batches)
+        _free(uses)
         _trim()
 
     return wrapped

@@ -12,7 +12,7 @@ import numpy as np
 from . import _triggers
 from ._triggers import mix
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _F = np.random.default_rng(99).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import _memory
+
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -24,6 +26,7 @@ _Q_INV = np.uint64(pow(int(_Q), -1, 2**64))
 POS_BITS = np.uint64(24)
 _POS = np.uint64((1 << 24) - 1)
 _POWERS: dict[str, np.ndarray] = {}
+_memory.cached("powers", _POWERS.clear)  # 16 bytes for each byte of the longest block
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -82,7 +82,7 @@ def _signatures(n: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            for a, b in groups(texts, 2 << 20, 4096):
+            for a, b in groups(texts, _shingles.BLOCK, 4096):
                 raws = raw(texts[a:b])
                 array = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys(raws).ravel()))
                 size = pa.array([len(r) for r in raws], pa.int64())

@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import _shingles, _triggers, components, embedding_dedup, minhash_dedup, queries, substring_dedup
+from quarry.llm import _memory, _shingles, _triggers, components, embedding_dedup, minhash_dedup, queries, substring_dedup
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -352,3 +353,21 @@ def test_pipeline_edges(spark):
         assert p.quality_rules(spark, docs, SMALL).filter("text is null or text = ''").count() == 0
         assert p.pack(spark, docs, SMALL).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
+
+
+def test_signatures_take_little_memory_and_leave_none():
+    """A Python worker stays beside the JVM in the executor's memory."""
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(9999)}" for _ in range(500)) for _ in range(1500)]  # 4 MB
+    digests = [i.to_bytes(16, "big") for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(digests), pa.array(texts)], names=["id", "fold", "text"])
+    tracemalloc.start()
+    try:
+        got = [k for b in _memory.trimmed(minhash_dedup._signatures(5, 32, 5))([batch]) for k in b.column("keys").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not _triggers._POWERS
+    assert peak < 64 << 20, peak
+    alone = [next(minhash_dedup._signatures(5, 32, 5)([batch.slice(i, 1)])).column("keys").to_pylist()[0] for i in (0, 700, 1499)]
+    assert [got[i] for i in (0, 700, 1499)] == alone
