@@ -24,6 +24,46 @@ def test_weights_equal_numpy(spark, ratings):
         assert r["weight"] == pytest.approx(((x - x.mean()) * (y - y.mean())).sum() / below if below else 0.0, abs=1e-9)
 
 
+def test_pair_sums_by_blocks_and_slices_equal_brute_force(spark, ratings):
+    from quarry.operators.pairs import pair_sums
+
+    table, want = {}, {}
+    for r in ratings.collect():
+        table.setdefault(r["user_id"], []).append((r["item_id"], r["stars"]))
+    for rated in table.values():
+        for a, x in rated:
+            for b, y in rated:
+                if a < b:
+                    want.setdefault((a, b), []).append((x, y))
+    for block, rows in ((512, 10**6), (3, 10**6), (3, 7)):
+        got = {(r["a"], r["b"]): r for r in pair_sums(ratings, "user_id", "item_id", "stars", 2, block, rows).collect()}
+        assert got.keys() == {k for k, v in want.items() if len(v) >= 2}
+        for key, r in got.items():
+            x, y = np.array(want[key]).T
+            assert (r["n"], r["sx"], r["sy"], r["sxy"], r["sxx"], r["syy"]) == (len(x), x.sum(), y.sum(), x @ y, x @ x, y @ y)
+            assert (r["lx"], r["hx"], r["ly"], r["hy"]) == (x.min(), x.max(), y.min(), y.max())
+        texts = ratings.withColumn("item_id", F.concat(F.lit("i"), F.col("item_id").cast("string")))
+        assert {(r["a"], r["b"], r["n"]) for r in pair_sums(texts, "user_id", "item_id", None, 2, block, rows).collect()} == {(f"i{a}", f"i{b}", r["n"]) for (a, b), r in got.items()}
+    assert pair_sums(ratings.limit(0), "user_id", "item_id").count() == 0
+
+
+def test_no_row_is_made_for_a_co_rating_or_a_candidate(spark, ratings):
+    plan = recommend.predict(ratings.select("user_id", "item_id"), ratings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join Inner, (user_id" not in plan
+
+
+def test_covariance_of_nothing_but_rounding_is_no_weight(spark):
+    a, b = (1 / 3, 1 / 3, 2 / 3, 2 / 3, 1.1, 1.1), (0.7, 1.9, 0.7, 1.9, 0.7, 1.9)
+    rows = [(u, i, v[u]) for u in range(6) for i, v in ((0, a), (1, b))]
+    got = recommend.pearson_weights(spark.createDataFrame(rows, "user_id long, item_id long, stars double")).collect()
+    assert [r["weight"] for r in got] == [0.0, 0.0]
+
+
+def test_error_of_a_whole_number_stays_in_its_bin(spark):
+    scored = spark.createDataFrame([(18.0, 46.99999999999999), (18.0, 47.00000000000001), (18.0, 46.9)], "t double, p double")
+    assert {tuple(r) for r in explore.error_histogram(scored, "t", "p").collect()} == {(29, 30, 2), (28, 29, 1)}
+
+
 def test_constant_ratings_weigh_zero(spark):
     rows = [(u, i, 3.0 if i == 0 else float(u % 5)) for u in range(8) for i in (0, 1)]
     got = recommend.pearson_weights(spark.createDataFrame(rows, "user_id long, item_id long, stars double")).collect()
