@@ -135,3 +135,49 @@ def test_registered_miner_leaves_parts_to_the_operator(spark, monkeypatch):
     for q in (mining.son_itemsets, mining.son_itemsets_all):
         q(spark, "/root/testdata/sf0.001")
     assert asked == [None, None]
+
+
+def test_least_hashes_run_on_from_batch_to_batch(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.functions.hashing import PRIME, coefficients
+    from quarry.operators import similarity
+
+    rng = np.random.default_rng(4)
+    items = np.sort(rng.integers(0, 6, 300))
+    for top in (1 << 20, PRIME - 1):  # beyond 2 ** 30 products are taken in two steps
+        index = rng.integers(0, top, 300)
+        whole = pa.RecordBatch.from_arrays([pa.array(items), pa.array(index)], names=["item", "index"])
+        for size in (300, 7, 1):
+            out = [b for b in similarity._least(12, 977)(iter([whole.slice(i, size) for i in range(0, 300, size)]))]
+            got = {i: m for b in out for i, m in zip(b.column("item").to_pylist(), b.column("minhashes").to_pylist(), strict=True)}
+            assert sum(b.num_rows for b in out) == len(got) == 6
+            for i in got:
+                assert got[i] == [min((a * int(x) + b) % PRIME % 977 for x in index[items == i]) for _, a, b in coefficients(12)]
+
+
+def test_similar_pairs_are_the_same_by_either_way(spark, monkeypatch):
+    import random
+
+    from quarry.operators import similarity
+
+    r = random.Random(8)
+    rows = spark.createDataFrame([(i, m) for i in range(14) for m in r.sample(range(30), 12)], "item long, member long")
+    exact = {(x["a"], x["b"]): x["similarity"] for x in similarity.all_jaccard(rows, "item", "member").collect()}
+    for band in (1, 2):
+        signs = similarity.signatures(rows, "item", "member", 6)
+        found = {(x["a"], x["b"]) for x in similarity.candidate_pairs(signs, band).collect()}
+        want = {p: s for p, s in exact.items() if s >= 0.3 and p in found}
+        assert 0 < len(want) < sum(s >= 0.3 for s in exact.values()) or band == 1
+        for meetings in (0.0, 1e18):
+            monkeypatch.setattr(similarity, "_meetings", lambda rows, n=meetings: n)
+            assert {(x["a"], x["b"]): x["similarity"] for x in similarity.similar_pairs(rows, "item", "member", 0.3, 6, band).collect()} == want
+
+
+def test_pairs_and_signatures_make_no_row_for_a_meeting(spark):
+    from quarry.operators import similarity
+
+    rows = spark.createDataFrame([(1, 1), (2, 1)], "item long, member long")
+    plans = [similarity.signatures(rows, "item", "member")._jdf.queryExecution().optimizedPlan().toString(), similarity.all_jaccard(rows, "item", "member")._jdf.queryExecution().optimizedPlan().toString()]
+    assert all("MapInArrow" in p for p in plans) and "inline" not in plans[0].lower()
