@@ -44,7 +44,8 @@ def stream_bloom_seen(spark, d):
 def stream_reservoir(spark, d):
     """What five slots of the reservoir hold after each hundred rows: values of the stream."""
     held = windows.run_available(sketches.reservoir_stream(_events(spark, d), "event_id"), _folder(spark))
-    known = held.join(table(spark, d, "events").select(F.col("event_id").cast("string").alias("value"), F.lit(1).alias("hit")).distinct(), "value", "left")
+    values = held.select("value").distinct()  # few, as the reservoir takes ever fewer
+    known = held.join(table(spark, d, "events").select(F.col("event_id").cast("string").alias("value")).join(values, "value", "left_semi").distinct().withColumn("hit", F.lit(1)), "value", "left")
     return known.groupBy("seqnum").agg(F.count("*").alias("slots"), F.count("hit").alias("known"))
 
 

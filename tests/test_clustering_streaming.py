@@ -80,3 +80,23 @@ def test_streams_run_again_give_the_same_table(spark, tmp_path):
     counts = sketches.counts_stream(readers.text_stream(spark, str(tmp_path / "in")), "value")
     for _ in range(2):
         assert {r["value"]: r["n"] for r in windows.run_available(counts, str(tmp_path / "c3"), "complete").collect()} == {"a": 6, "b": 6}
+
+
+def test_short_numbers_do_not_share_their_hashes():
+    from quarry.functions.hashing import coefficients
+
+    family = coefficients(22)
+    assert sketches._hashes("31040", family, 1 << 22) != sketches._hashes("1013", family, 1 << 22)
+    assert len({tuple(sketches._hashes(str(i), family[:3], 1 << 40)) for i in range(40_000)}) == 40_000
+
+
+def test_reservoir_draws_are_uniform_and_the_same_in_any_frame():
+    import numpy as np
+
+    n = np.arange(100_000)
+    u, w = sketches._draws(553, 0, n)
+    again = [sketches._draws(553, 0, n[i : i + 1]) for i in (0, 77, 99_999)]
+    assert [(float(a[0]), float(b[0])) for a, b in again] == [(float(u[i]), float(w[i])) for i in (0, 77, 99_999)]
+    for x in (u, w, sketches._draws(553, 1, n)[0]):
+        assert 0 <= x.min() and x.max() < 1 and np.abs(np.histogram(x, 20, (0, 1))[0] / 5000 - 1).max() < 0.08
+    assert abs(np.corrcoef(u, w)[0, 1]) < 0.02 and abs(np.corrcoef(u, sketches._draws(553, 1, n)[0])[0, 1]) < 0.02
