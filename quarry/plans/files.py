@@ -91,7 +91,7 @@ def nan_as_missing(spark, d):
 @query("scan_csv_ratings", "select s_name as user_id, s_nationkey::varchar as business_id, s_acctbal as stars from supplier")
 def scan_csv_ratings(spark, d):
     path = _path(spark, "ratings")
-    writers.write_csv(table(spark, d, "supplier").select(F.col("s_name").alias(" user"), F.col("s_nationkey").alias(" item"), F.col("s_acctbal").alias(" rating")), path)
+    table(spark, d, "supplier").select(F.col("s_name").alias(" user"), F.col("s_nationkey").alias(" item"), F.col("s_acctbal").alias(" rating")).write.csv(path, header=True)
     return readers.csv(spark, path, "rating")
 
 
@@ -99,14 +99,14 @@ def scan_csv_ratings(spark, d):
 def scan_csv_staged(spark, d):
     """Staged feature rows: written as CSV, read by position."""
     path = _path(spark, "staged")
-    writers.write_csv(ratings(spark, d)[1].withColumn("stars", F.round("stars", 4)), path)
+    ratings(spark, d)[1].withColumn("stars", F.round("stars", 4)).write.csv(path, header=True)
     return readers.csv(spark, path, "rating")
 
 
 @query("scan_csv_orientation", "select l_suppkey::varchar as basket, count(distinct l_partkey)::bigint as items from lineitem group by 1")
 def scan_csv_orientation(spark, d):
     path = _path(spark, "baskets")
-    writers.write_csv(table(spark, d, "lineitem").select(F.col("l_partkey").alias("user_id"), F.col("l_suppkey").alias("business_id")), path)
+    table(spark, d, "lineitem").select(F.col("l_partkey").alias("user_id"), F.col("l_suppkey").alias("business_id")).write.csv(path, header=True)
     return readers.baskets_csv(spark, path, 2).groupBy("basket").agg(F.count_distinct("item").alias("items"))
 
 
