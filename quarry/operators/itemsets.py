@@ -59,25 +59,35 @@ def _candidates(level: DataFrame, k: int) -> DataFrame:
     return found.groupBy("items").count().filter(F.col("count") == k).select("items")
 
 
+def _weighted(rows: DataFrame) -> DataFrame:
+    """(basket, item, times): baskets of the same items as one, named by their items, with their number."""
+    sets = cut(baskets(rows).groupBy("items").agg(F.count("*").alias("times")), "baskets")
+    return sets.select(F.col("items").alias("basket"), F.explode("items").alias("item"), "times")
+
+
 def apriori(rows: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
     """(items, n): all itemsets in at least ``support`` baskets, level by level.
 
-    A level's occurrences (basket, itemset) grow by larger items of the same
-    basket, kept only where the result is a candidate; so a basket is never
-    tested against itemsets it cannot hold, and no pair of unrelated items is made.
+    Equal baskets are taken once with their number.  A level's occurrences (basket,
+    itemset) grow by larger items of the same basket, kept only where the result is a
+    candidate; so a basket is never tested against itemsets it cannot hold, and no pair
+    of unrelated items is made.
     """
-    one = singletons(rows, support)
-    rows = cut(rows.join(one.select("item"), "item", "left_semi"), "rows")
+    rows = _weighted(rows)
+    one = rows.groupBy("item").agg(F.sum("times").alias("n")).filter(F.col("n") >= support)
     level = cut(one.select(F.array("item").alias("items"), "n"), "level")
-    held = rows.select("basket", F.array("item").alias("items"))
+    if max_size == 1:
+        return level
+    rows = cut(rows.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi"), "rows")
+    held = rows.select("basket", "times", F.array("item").alias("items"))
     out, k = level, 1
     while (max_size is None or k < max_size) and level.limit(2).count() > 1:
         k += 1
         wanted = cut(_candidates(level.select("items"), k), "candidates")
-        grown = held.alias("h").join(rows.alias("r"), "basket").filter(F.col("r.item") > F.element_at("h.items", -1))
-        grown = grown.select("basket", F.concat("h.items", F.array("r.item")).alias("items")).join(wanted, "items", "left_semi")
+        grown = held.alias("h").join(rows.select("basket", "item").alias("r"), "basket").filter(F.col("r.item") > F.element_at("h.items", -1))
+        grown = grown.select("basket", "times", F.concat("h.items", F.array("r.item")).alias("items")).join(wanted, "items", "left_semi")
         grown = cut(grown, "held")
-        level = cut(grown.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= support), "level")
+        level = cut(grown.groupBy("items").agg(F.sum("times").alias("n")).filter(F.col("n") >= support), "level")
         held = grown.join(level.select("items"), "items", "left_semi")
         out = out.unionByName(level)
     return out
@@ -152,10 +162,10 @@ def son(rows: DataFrame, support: int, parts: int | None = None, small: int = 20
 
 
 def fp_growth(rows: DataFrame, support: int) -> DataFrame:
-    """The same itemsets by MLlib's parallel FP-growth."""
+    """The same itemsets by MLlib's parallel FP-growth, which reads the baskets several times: they are written once."""
     from pyspark.ml.fpm import FPGrowth
 
-    sets = baskets(rows)
+    sets = cut(baskets(rows), "baskets")
     total = max(1, sets.count())
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / total)).fit(sets).freqItemsets
     return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))

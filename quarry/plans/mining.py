@@ -9,6 +9,7 @@ from quarry.functions.hashing import COEFFICIENTS_SQL
 from quarry.operators import itemsets, similarity, sketches
 from quarry.plans.registry import query
 from quarry.sources.readers import table
+from quarry.sources.scratch import cut
 
 #: Least share of the baskets.
 SHARE = 0.0017
@@ -20,7 +21,7 @@ _PAIRS = "pairs as (select a.item as a, b.item as b, count(*)::bigint as n from
 def _rows(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, d, "part").select("p_partkey", "p_brand")
-    return itemsets.rows_of(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", "p_brand")
+    return cut(itemsets.rows_of(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", "p_brand"), "rows")
 
 
 def _support(rows) -> int:

@@ -181,3 +181,29 @@ def test_pairs_and_signatures_make_no_row_for_a_meeting(spark):
     rows = spark.createDataFrame([(1, 1), (2, 1)], "item long, member long")
     plans = [similarity.signatures(rows, "item", "member")._jdf.queryExecution().optimizedPlan().toString(), similarity.all_jaccard(rows, "item", "member")._jdf.queryExecution().optimizedPlan().toString()]
     assert all("MapInArrow" in p for p in plans) and "inline" not in plans[0].lower()
+
+
+def test_equal_baskets_are_one_row_with_their_number(spark):
+    from quarry.operators import itemsets
+
+    rows = spark.createDataFrame([(b, i) for b in range(60) for i in ("xyz" if b % 3 else "xz")] + [(0, "x")], "basket long, item string")
+    assert {(tuple(r["basket"]), r["item"], r["times"]) for r in itemsets._weighted(rows).collect()} == {(("x", "z"), i, 20) for i in "xz"} | {(("x", "y", "z"), i, 40) for i in "xyz"}
+    assert {("".join(r["items"]), r["n"]) for r in itemsets.apriori(rows, 30).collect()} == {("x", 60), ("y", 40), ("z", 60), ("xy", 40), ("xz", 60), ("yz", 40), ("xyz", 40)}
+
+
+def test_fp_growth_reads_written_baskets(spark, monkeypatch):
+    from quarry.operators import itemsets
+
+    written, cut = [], itemsets.cut
+    monkeypatch.setattr(itemsets, "cut", lambda df, tag="step": written.append(tag) or cut(df, tag))
+    rows = spark.createDataFrame([(b, i) for b in range(4) for i in "xy"], "basket long, item string")
+    assert itemsets.fp_growth(rows, 4).count() == 3 and written == ["baskets"]
+
+
+def test_large_tables_are_not_written_by_one_task(spark, monkeypatch):
+    from quarry.plans import registry
+    from quarry.sources import writers
+
+    monkeypatch.setattr(writers, "write_csv", None)
+    for q in ("scan_csv_orientation", "scan_csv_staged"):
+        assert registry.queries()[q](spark, "/root/testdata/sf0.001").count() > 0
