@@ -208,3 +208,11 @@ def test_random_search_tries_points_of_the_grid(spark):
     rows = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 7)) for i in range(80)], "a double, b double, stars double")
     _, scores = models.search(rows, ["a", "b"], {"maxDepth": [1, 2, 3], "maxIter": [1, 2]}, folds=1, tries=3)
     assert len({(s["maxDepth"], s["maxIter"]) for s in scores}) == 3
+
+
+def test_models_read_written_matrices(spark):
+    from quarry.plans import recommenders
+
+    for frame in recommenders._model(spark, "/root/testdata/sf0.001"):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
